@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, tokens
+from . import mixing, quality, sharding, tokens
 from .common import table
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``. Only ids and digests travel; the shuffle doesn't look at texts, so equal texts go anywhere."""
+    text = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(text) + 1).cast("bigint").alias("size")
+    docs = table(spark, sf_dir, "documents").select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"))
+    dealt = sharding.shuffle_to_shards(docs, n_shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -20,6 +30,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text", "lang")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    plan = mixing.mixing_plan(docs, weights=(5, 2, 1), most=3)
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
