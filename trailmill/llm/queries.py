@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, tokens
-from .common import table
+from . import lm, mixing, quality, sharding, tokens
+from .common import crc_mod, table
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score_texts(docs, train=crc_mod(F.col("doc_id"), 7) != 2, order=2)
+    held_out = (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
