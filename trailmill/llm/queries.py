@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, quality, sharding, tokens
+from . import lm, mixing, neardup, quality, sharding, tokens
 from .common import crc_mod, table
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``. Only ids and digests travel; the shuffle doesn't look at texts, so equal texts go anywhere."""
     text = F.coalesce("text", F.lit(""))
