@@ -7,6 +7,7 @@ one of these, or the string of a special token, go to the library as a whole.
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import cached_property
 
 import regex
@@ -105,3 +106,32 @@ class TokenCounter(dict):
         if RARE.search(text) or any(s in text for s in self.bpe.specials):
             return len(self.bpe.library.encode(text, add_special_tokens=False).ids)
         return sum(map(self.__getitem__, self.find(text)))
+
+
+class WordIds(dict):
+    """normalised pre-token -> its ids as little-endian 32-bit numbers, for a tokenizer with word ends."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self, spec: str) -> None:
+        super().__init__()
+        self.bpe, self.find = ByteBpe(spec), regex.compile(WORD_PATTERN).findall
+
+    def __missing__(self, pre_token: str) -> bytes:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        spelled = "".join(self.bpe.spelled(pre_token))
+        ids = b"".join(t.id.to_bytes(4, "little") for t in self.bpe.library.model.tokenize(spelled))
+        if len(pre_token) < 100:
+            self[pre_token] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if RARE.search(text) or any(s in text for s in self.bpe.specials):
+            ids = self.bpe.library.encode(text, add_special_tokens=False).ids
+            return b"".join(i.to_bytes(4, "little") for i in ids)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return b"".join(map(self.__getitem__, self.find(text.lower())))
