@@ -1,13 +1,57 @@
-"""A corpus pipeline from raw documents to packed training sequences."""
+"""A corpus pipeline from raw documents to packed training sequences.
+
+Each stage works on all that its predecessor kept: quality rules drop documents, near-dedup keeps one document of each
+group, substring dedup cuts out passages that an earlier document has, mixing repeats and thins documents towards the
+sources' target weights, and packing lays out the rest in sequences. All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from trailmill.llm import mixing, neardup, packing, passages, quality
+from trailmill.llm.common import table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, weights=(5, 2, 1), most=3)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, capacity=4096, end=1, with_ids=False)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The verdicts of the language references, passages and packing aren't SQL; tests hold ``run`` against brute force.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, mixing, neardup, packing, passages, quality, sharding, tokens
+from . import ann, langid, lm, mixing, neardup, packing, passages, quality, sharding, tokens
 from .common import crc_mod, table
 
 
@@ -32,6 +32,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, is_query=F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
