@@ -170,11 +170,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(blobs: pa.Table) -> pa.Table:
-    """One bucket: every window is linked to the first text's with its value, and with its value and either side."""
+    """One bucket: every window is linked to the first text's that has its value and the same token on either side."""
     keys = np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]])
     doc, c, before, after, sides = (np.concatenate([unpack(x.as_py()) for x in blobs[f]]) for f in FIELDS)
     members, heads = [], []
-    for group in (np.zeros_like(sides), sides >> np.uint64(16), sides & np.uint64(0xFFFF)):
+    for group in (sides >> np.uint64(16), sides & np.uint64(0xFFFF)):
         order = np.lexsort((c, doc.view(np.int64), group, keys))
         k, g = keys[order], group[order]
         first = np.ones(len(k), bool)
@@ -309,7 +309,8 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages(), doc_id: str =
     across = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_stars, PAIR)
     within = blobs.where("bucket < 0").mapInArrow(_linked, PAIR)
     anchor = F.struct("c", "hc", "before", "after", "hbefore", "hafter", "hash")
-    pairs = cut(across.unionByName(within).groupBy("doc", "hub").agg(F.collect_list(anchor).alias("anchors")))
+    pairs = across.unionByName(within).groupBy("doc", "hub").agg(F.collect_list(anchor).alias("anchors"))
+    pairs = cut(pairs.where(F.size(F.array_distinct("anchors.hash")) >= how.enough))
 
     times = pairs.groupBy("hub").agg(F.count("*").alias("times"))
     chunk = F.pmod(F.xxhash64("id"), F.floor(F.col("times") / 64) + 1).alias("chunk")
