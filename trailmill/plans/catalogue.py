@@ -1,17 +1,434 @@
-"""Every query over the driver's tables, and the SQL that must give the same rows."""
+"""Every query over the driver's tables. ``oracles`` holds the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from trailmill.functions import geometry as g
+from trailmill.operators import graph, network, polygon, simplify, track
+from trailmill.plans import oracles
+from trailmill.sources import adapters as a
+from trailmill.sources import gpsfile, streets, svg
+from trailmill.streaming import fixes
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+#: The reference point of the adapters' area, and the tiles of a rectangle and a view in it.
+CENTRE = (5.705, 45.105)
+RECT, VIEW = (4276, 33826, 4279, 33829), (4278, 33828)
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return network.segments(network.located(a.way_nodes(spark, d), a.nodes(spark, d)))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return network.tile_edges(network.cut_on_grid(_segments(spark, d)))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return network.merge_collinear(network.quantised(_edges(spark, d)))
+
+
+def _path_edges(spark: SparkSession, d: str) -> DataFrame:
+    return network.tile_edges(network.cut_on_grid(network.segments(a.track_points(spark, d), ("track_id",))))
+
+
+def _interests(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' segments stand for tags of the nodes with the same key."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("node_id"), "c_mktsegment")
+    tag = F.struct(F.lit("segment").alias("k"), F.col("c_mktsegment").alias("v"))
+    tagged = a.nodes(spark, d).join(customers, "node_id").withColumn("tags", F.array(tag))
+    return network.interests(tagged, [("segment", "BUILDING"), ("segment", "FURNITURE"), ("segment", "MACHINERY")])
+
+
+def _street_ways(spark: SparkSession, d: str) -> DataFrame:
+    return a.ways(spark, d).where("name is not null").select("name", "way_id")
+
+
+def _road_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of places that a road joins, once; ``edge_id`` names it by its ends."""
+    rows = _segments(spark, d).where("x1 <> x2 or y1 <> y2").select("x1", "y1", "x2", "y2").distinct()
+    ends = [F.round(F.col(c) * 100000).cast("bigint") % 10000 for c in ("x1", "y1", "x2", "y2")]
+    return rows.withColumn("edge_id", ((ends[0] * 10000 + ends[1]) * 10000 + ends[2]) * 10000 + ends[3])
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """A graph over parts: each leads to its double, the one after that, and its triple."""
+    key, n = F.col("node_id"), a.nodes(spark, d).select("node_id")
+    steps = F.array(*(F.struct((key * m + p).alias("b"), (key % q + 1).cast("double").alias("length")) for m, p, q in ((2, 0, 5), (2, 1, 7), (3, 0, 3))))
+    links = n.select(key.alias("a"), F.explode(steps).alias("to")).select("a", "to.b", "to.length")
+    return links.join(n.withColumnRenamed("node_id", "b"), "b", "left_semi")
+
+
+def _fixes(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet")
+    lon = F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(5.7 + F.col("value") / 1000000.0)
+    lat = F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(45.1 + F.col("event_id") % 1000 / F.lit(10000000.0))
+    return events.select(F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", lon.alias("lon"), lat.alias("lat"))
+
+
+@query
+def way_filter(spark: SparkSession, d: str) -> DataFrame:
+    kept = a.ways(spark, d).where(network.local_way_filter(F.col("tags")) & network.remote_way_filter(F.col("tags")))
+    return kept.select("way_id", F.col("tags")["highway"].alias("highway"))
+
+
+@query
+def motorway_filter(spark: SparkSession, d: str) -> DataFrame:
+    return a.ways(spark, d).select("way_id", F.coalesce(network.remote_way_filter(F.col("tags")), F.lit(False)).alias("kept"))
+
+
+@query
+def piste_levels(spark: SparkSession, d: str) -> DataFrame:
+    levels = F.create_map(F.lit("1-URGENT"), F.lit("advanced"), F.lit("2-HIGH"), F.lit("easy"), F.lit("3-MEDIUM"), F.lit("novice"), F.lit("5-LOW"), F.lit("other"))
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    lift = F.when(F.col("o_orderstatus") == "P", F.create_map(F.lit("aerialway"), F.lit("chair_lift"))).otherwise(F.create_map(F.lit("piste:difficulty"), levels[F.col("o_orderpriority")]))
+    return rows.select("o_orderkey", g.piste(lift).cast("int").alias("piste"))
+
+
+@query
+def interest_match(spark: SparkSession, d: str) -> DataFrame:
+    return _interests(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("lon"), 6).alias("sum_lon"))
+
+
+@query
+def node_degree(spark: SparkSession, d: str) -> DataFrame:
+    return network.node_degree(a.way_nodes(spark, d))
+
+
+@query
+def used_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return network.used_nodes(a.way_nodes(spark, d), a.nodes(spark, d)).select("node_id")
+
+
+@query
+def way_split(spark: SparkSession, d: str) -> DataFrame:
+    return network.split_ways(a.way_nodes(spark, d))
+
+
+@query
+def edges_from_ways(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select("way_id", "seq", "x1", "y1", "x2", "y2")
+
+
+@query
+def grid_crossings(spark: SparkSession, d: str) -> DataFrame:
+    cut = network.cut_on_grid(_segments(spark, d))
+    return cut.groupBy("way_id").agg(F.count("*").alias("n_parts"), F.round(F.sum(g.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))), 9).alias("length"))
+
+
+@query
+def tile_assign(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("x")
+    return a.signed_points(spark, d).select("point_id", g.cell(x).alias("floored"), g.cell(x, toward_zero=True).alias("truncated"), g.cell(F.col("y")).alias("ty"))
+
+
+@query
+def tile_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    tiles = a.nodes(spark, d).withColumn("tile", F.explode(g.tiles_of(F.col("lon"), F.col("lat"))))
+    return tiles.select("node_id", "tile.tx", "tile.ty")
+
+
+@query
+def common_tile(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d).groupBy("way_id", "tx", "ty").agg(F.count("*").alias("n"))
+
+
+@query
+def edge_tile_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return network.edges_per_tile(_edges(spark, d))
+
+
+@query
+def quantise(spark: SparkSession, d: str) -> DataFrame:
+    rows = network.quantised(_edges(spark, d))
+    return rows.groupBy("tx", "ty").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in ("cx1", "cy1", "cx2", "cy2")))
+
+
+@query
+def dequantise(spark: SparkSession, d: str) -> DataFrame:
+    x, tile = F.col("lon"), g.cell(F.col("lon"))
+    code = g.quantise(x, tile)
+    return a.nodes(spark, d).select("node_id", code.alias("code"), F.round(g.dequantise(code, tile) - x, 12).alias("error"))
+
+
+@query
+def collinear_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d)
+
+
+@query
+def tile_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return network.tile_prefix(_merged(spark, d))
+
+
+@query
+def map_stats(spark: SparkSession, d: str) -> DataFrame:
+    return network.map_stats(_merged(spark, d))
+
+
+@query
+def corridor_clip(spark: SparkSession, d: str) -> DataFrame:
+    return network.edges_per_tile(network.corridor_clip(_merged(spark, d), _path_edges(spark, d)))
+
+
+@query
+def rect_clip(spark: SparkSession, d: str) -> DataFrame:
+    return network.edges_per_tile(network.rect_clip(_merged(spark, d), *RECT))
+
+
+@query
+def viewport_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return network.viewport(_merged(spark, d), *VIEW)
+
+
+@query
+def fit_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return network.grid_extent(network.rect_clip(_merged(spark, d), *RECT))
+
+
+@query
+def bbox(spark: SparkSession, d: str) -> DataFrame:
+    return a.nodes(spark, d).agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"))
+
+
+@query
+def interests_tiled(spark: SparkSession, d: str) -> DataFrame:
+    tiles = network.interests_tiled(_interests(spark, d))
+    total = lambda f: F.aggregate("places", F.lit(0), lambda s, p: s + p[f])
+    return tiles.select("tx", "ty", F.size("places").alias("n"), F.col("end"), total("cx").alias("sum_cx"), total("cy").alias("sum_cy"))
+
+
+@query
+def kept_streets(spark: SparkSession, d: str) -> DataFrame:
+    kept = network.kept_streets(_street_ways(spark, d), network.rect_clip(_edges(spark, d), *RECT))
+    return kept.select("name", F.size("ways").alias("n_ways"), F.element_at("ways", 1).alias("first_way"))
+
+
+@query
+def street_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return network.street_blocks(_street_ways(spark, d))
+
+
+@query
+def street_menu(spark: SparkSession, d: str) -> DataFrame:
+    """Two-level browsing: the first street of each block."""
+    return network.street_blocks(_street_ways(spark, d)).groupBy("block").agg(F.min("name").alias("label"), F.count("*").alias("n"))
+
+
+@query
+def spur_removal(spark: SparkSession, d: str) -> DataFrame:
+    """Each track there and back again, every fourth step, with spurs."""
+    points = a.track_points(spark, d)
+    back = points.where("seq % 4 = 1").select("track_id", (F.col("seq") * 2 + 1).alias("seq"), "lon", "lat", "ele")
+    there = points.select("track_id", (F.col("seq") * 2).alias("seq"), "lon", "lat", "ele")
+    order = Window.partitionBy("track_id").orderBy("seq")
+    walk = there.unionByName(back).withColumn("lon", F.when(F.col("seq") % 2 == 1, F.lag("lon", 2).over(order)).otherwise(F.col("lon"))).withColumn("lat", F.when(F.col("seq") % 2 == 1, F.lag("lat", 2).over(order)).otherwise(F.col("lat")))
+    return track.without_spurs(walk.where("lon is not null"), reach=0.002).groupBy("track_id").agg(F.count("*").alias("n"), F.sum("seq").alias("sum_seq"))
+
+
+@query
+def sharp_turns(spark: SparkSession, d: str) -> DataFrame:
+    return track.sharp_turns(a.track_points(spark, d)).select("track_id", "seq", F.round("turn", 9).alias("turn"))
+
+
+@query
+def leg_haversine(spark: SparkSession, d: str) -> DataFrame:
+    rows = track.path_length(a.track_points(spark, d))
+    return rows.select("track_id", F.round("metres", 3).alias("metres"), F.round("degrees", 9).alias("degrees"))
+
+
+@query
+def bearing(spark: SparkSession, d: str) -> DataFrame:
+    return track.legs(a.track_points(spark, d)).where("bearing is not null").select("track_id", "seq", F.round("bearing", 9).alias("bearing"))
+
+
+@query
+def cumulative_distance(spark: SparkSession, d: str) -> DataFrame:
+    return track.cumulative_distance(a.track_points(spark, d)).select("track_id", "seq", F.round("travelled", 8).alias("travelled"))
+
+
+@query
+def point_segment_distance(spark: SparkSession, d: str) -> DataFrame:
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    far = g.segment_distance(F.lit(CENTRE[0]), F.lit(CENTRE[1]), *ends)
+    return _segments(spark, d).groupBy("way_id").agg(F.round(F.min(far), 9).alias("nearest"))
+
+
+@query
+def track_ends(spark: SparkSession, d: str) -> DataFrame:
+    return track.ends(a.track_points(spark, d)).select("track_id", "seq")
+
+
+@query
+def waypoint_bitset(spark: SparkSession, d: str) -> DataFrame:
+    points = a.track_points(spark, d)
+    return track.waypoint_bits(track.marked(points, points.where("seq % 11 = 0")))
+
+
+@query
+def heights_complete(spark: SparkSession, d: str) -> DataFrame:
+    points = a.track_points(spark, d)
+    some = points.withColumn("ele", F.when((F.col("track_id") % 3 == 0) & (F.col("seq") == 5), None).otherwise(F.col("ele")))
+    return track.heights(some).groupBy("track_id").agg(F.count("*").alias("n"), F.sum("height").alias("sum_height"))
+
+
+@query
+def spaced_waypoints(spark: SparkSession, d: str) -> DataFrame:
+    return track.spaced(track.cumulative_distance(a.track_points(spark, d)), spacing=0.01)
+
+
+@query
+def polyline_arrays(spark: SparkSession, d: str) -> DataFrame:
+    rows = track.flat_arrays(a.track_points(spark, d))
+    return rows.select("track_id", F.size("polyline").alias("n"), F.col("polyline")[0].alias("lat0"), F.col("polyline")[1].alias("lon0"))
+
+
+@query
+def crossroads(spark: SparkSession, d: str) -> DataFrame:
+    return graph.crossroads(_road_graph(spark, d))
+
+
+@query
+def snap_join(spark: SparkSession, d: str) -> DataFrame:
+    points = a.track_points(spark, d).select(F.struct("track_id", "seq").alias("point_id"), "track_id", "seq", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    nodes = a.nodes(spark, d).select(F.col("lon").alias("nx"), F.col("lat").alias("ny")).distinct()
+    return graph.near_nodes(points, nodes).select("track_id", "seq", "nx", "ny")
+
+
+@query
+def adjacency(spark: SparkSession, d: str) -> DataFrame:
+    edges = _road_graph(spark, d)
+    places = graph.endpoints(edges).select("x", "y")
+    return graph.adjacency(places, edges).select("x", "y", "edge_id", "ox", "oy")
+
+
+@query
+def nearest_node(spark: SparkSession, d: str) -> DataFrame:
+    points = a.track_points(spark, d).select((F.col("track_id") * 100 + F.col("seq")).alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    nodes = a.nodes(spark, d).select(F.col("lon").alias("nx"), F.col("lat").alias("ny")).distinct()
+    return graph.nearest_node(points, nodes).select("point_id", "nx", "ny", F.round("degrees", 12).alias("degrees"))
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    """Walks along roads: from one part to the next of an order."""
+    rows = network.located(a.way_nodes(spark, d), a.nodes(spark, d))
+    order = Window.partitionBy("way_id").orderBy("seq")
+    rows = rows.select(F.col("way_id").alias("track_id"), "seq", F.lag("lon").over(order).alias("px"), F.lag("lat").over(order).alias("py"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.lead("lon").over(order).alias("qx"), F.lead("lat").over(order).alias("qy"))
+    return rows.where("px is not null and qx is not null")
+
+
+@query
+def obvious_exits(spark: SparkSession, d: str) -> DataFrame:
+    steps = _steps(spark, d)
+    return graph.obvious(steps, graph.exits(steps, _road_graph(spark, d))).select("track_id", "seq", "n_exits", "n_aligned", "obvious")
+
+
+@query
+def detect_crossroads(spark: SparkSession, d: str) -> DataFrame:
+    points = network.located(a.way_nodes(spark, d), a.nodes(spark, d)).withColumnRenamed("way_id", "track_id")
+    return graph.detect_crossroads(points, _road_graph(spark, d))
+
+
+@query
+def shortest_distance(spark: SparkSession, d: str) -> DataFrame:
+    sources = a.nodes(spark, d).where("node_id in (1, 17)").select(F.col("node_id").alias("source"), F.col("node_id").alias("node"))
+    return graph.routes(_links(spark, d), sources).select("source", "node", "distance")
+
+
+@query
+def components(spark: SparkSession, d: str) -> DataFrame:
+    links = a.nodes(spark, d).select(F.col("node_id").alias("a"), (F.col("node_id") - F.col("node_id") % 10 + F.col("node_id") * 3 % 10).alias("b"))
+    return graph.components(links)
+
+
+@query
+def corridor_cells(spark: SparkSession, d: str) -> DataFrame:
+    return polygon.corridor_cells(network.segments(a.track_points(spark, d), ("track_id",)))
+
+
+@query
+def corridor_boundary_segments(spark: SparkSession, d: str) -> DataFrame:
+    return polygon.boundary(polygon.corridor_cells(network.segments(a.track_points(spark, d), ("track_id",))))
+
+
+@query
+def corridor_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return polygon.corridor_polygon(network.segments(a.track_points(spark, d), ("track_id",)))
+
+
+@query
+def signed_area(spark: SparkSession, d: str) -> DataFrame:
+    """Twice around: tracks closed at their first point."""
+    points = a.track_points(spark, d).select("track_id", "seq", "lon", "lat")
+    closed = points.unionByName(points.where("seq = 0").withColumn("seq", F.lit(1_000_000_000)))
+    return polygon.signed_area(closed).select("track_id", F.round("area", 9).alias("area"))
+
+
+@query
+def view_transform(spark: SparkSession, d: str) -> DataFrame:
+    sx, sy = g.view(F.col("lon"), F.col("lat"), CENTRE, 20000.0, math.pi / 7, (88, 88))
+    return a.nodes(spark, d).select("node_id", sx.alias("sx"), sy.alias("sy"))
+
+
+@query
+def fix_filter(spark: SparkSession, d: str) -> DataFrame:
+    return track.valid_fixes(_fixes(spark, d)).groupBy("device_id").agg(F.count("*").alias("n"))
+
+
+@query
+def noise_gate(spark: SparkSession, d: str) -> DataFrame:
+    return fixes.accepted(_fixes(spark, d)).select("device_id", "ts", "lon", "lat", F.round("heading", 9).alias("heading"))
+
+
+@query
+def simplify_path(spark: SparkSession, d: str) -> DataFrame:
+    return simplify.simplify(a.track_points(spark, d), epsilon=0.001)
+
+
+@query
+def simplify_count(spark: SparkSession, d: str) -> DataFrame:
+    return simplify.simplify(a.track_points(spark, d), epsilon=0.001).groupBy("track_id").agg(F.count("*").alias("n"))
+
+
+@query
+def simplify_around_waypoints(spark: SparkSession, d: str) -> DataFrame:
+    points = a.track_points(spark, d)
+    return simplify.simplify_around(track.marked(points, points.where("seq % 13 = 0")), epsilon=0.001)
+
+
+@query
+def accent_strip(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.read.parquet(f"{d}/documents.parquet")
+    return names.select("doc_id", streets.without_accents(F.col("text")).alias("name"))
+
+
+@query
+def svg_layers(spark: SparkSession, d: str) -> DataFrame:
+    return svg.draw(a.track_points(spark, d), _merged(spark, d))
+
+
+@query
+def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    points = a.track_points(spark, d)
+    marked = track.marked(points, points.where("seq % 13 = 0"))
+    return gpsfile.decode(gpsfile.encode(marked, _merged(spark, d), _interests(spark, d)))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
