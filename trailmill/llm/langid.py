@@ -95,10 +95,12 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     full = np.zeros((len(langs), len(runs)))
     for i, lang in enumerate(langs):
         full[i, np.searchsorted(runs, counts[lang][0])] = counts[lang][1]
-    # levels[k]: runs of k + 1 bytes, by dropping first bytes of longer ones, and their counts
+    # levels[k]: runs of k + 1 bytes: longer ones without their last byte (contexts) or without their first, which
+    # alone have counts
     levels, tables = [runs], [full]
     for k in range(ORDER - 1, -1, -1):
-        shorter, inverse = np.unique(levels[0] & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        shorter = np.unique(np.concatenate([levels[0] >> 8, levels[0] & ((1 << 8 * (k + 1)) - 1)]))
+        inverse = np.searchsorted(shorter, levels[0] & ((1 << 8 * (k + 1)) - 1))
         table = np.zeros((len(langs), len(shorter)))
         for i in range(len(langs)):
             table[i] = np.bincount(inverse, weights=tables[0][i], minlength=len(shorter))
