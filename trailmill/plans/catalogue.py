@@ -423,7 +423,8 @@ def svg_layers(spark: SparkSession, d: str) -> DataFrame:
 def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     points = a.track_points(spark, d)
     marked = track.marked(points, points.where("seq % 13 = 0"))
-    return gpsfile.decode(gpsfile.encode(marked, _merged(spark, d), _interests(spark, d)))
+    own = network.quantised(_path_edges(spark, d)).select("track_id", "tx", "ty", "cx1", "cy1", "cx2", "cy2").distinct()
+    return gpsfile.decode(gpsfile.encode(marked, own, _interests(spark, d)))
 
 
 def queries() -> dict[str, Query]:

@@ -58,7 +58,7 @@ _CODE = ", ".join(f"least(255, greatest(0, round(({v}{n} - t{v}*{SIDE})*255/{SID
 QUANT = f"{EDGES}, quant as (select * from (select way_id, seq, part, tx, ty, {_CODE} from edges) where cx1 <> cx2 or cy1 <> cy2)"
 MERGED = f"""{QUANT}, ordered as (select tx, ty, case when (cx1,cy1) <= (cx2,cy2) then cx1 else cx2 end ax, case when (cx1,cy1) <= (cx2,cy2) then cy1 else cy2 end ay,
   case when (cx1,cy1) <= (cx2,cy2) then cx2 else cx1 end bx, case when (cx1,cy1) <= (cx2,cy2) then cy2 else cy1 end by_ from quant),
- lines as (select tx, ty, case when bx <> ax then (by_-ay)::double/(bx-ax) end slope,
+ lines as (select distinct tx, ty, case when bx <> ax then (by_-ay)::double/(bx-ax) end slope,
   case when bx <> ax then ((bx-ax)*ay-(by_-ay)*ax)::double/(bx-ax) else ax::double end height, ax*256+ay b, bx*256+by_ e from ordered),
  swept as (select *, max(e) over (partition by tx, ty, slope, height order by b, e rows between unbounded preceding and 1 preceding) reached from lines),
  islands as (select *, sum(case when reached is null or b > reached then 1 else 0 end) over (partition by tx, ty, slope, height order by b, e rows unbounded preceding) island from swept),
