@@ -10,18 +10,28 @@ import json
 import unicodedata
 from functools import cached_property
 
+import numpy as np
 import regex
 
 # The pre-token patterns of the two files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Code points whose class or lower case differs between Unicode versions or depends on their neighbours.
+#: Code points whose class or lower case differs between Unicode versions, libraries or with their neighbours.
 RARE = regex.compile(
-    r"[Σ՘֋֌࢏౜೜Ᲊ₏₝-₟Ɤ-ꟿ꭬꭭\U00010000-\U0010ffff]"
+    r"[\x1c-\x1fΣ՘֋֌࢏౜೜Ᲊ₏₝-₟Ɤ-ꟿ꭬꭭\U00010000-\U0010ffff]"
 )
 
 
+def is_plain(text: str, specials: list[str]) -> bool:
+    """Whether the patterns hold for the text: nothing rare in it and no special token."""
+    if any(s in text for s in (*specials, "\x1c", "\x1d", "\x1e", "\x1f", "Σ")):
+        return False
+    if text.isascii() or np.frombuffer(text.encode("utf-32-le"), "<u4").max() < 0x558:  # the least other rare one
+        return True
+    return not RARE.search(text)
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next one from U+0100."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -103,13 +113,14 @@ class TokenCounter(dict):
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if RARE.search(text) or any(s in text for s in self.bpe.specials):
+        if not is_plain(text, self.bpe.specials):
             return len(self.bpe.library.encode(text, add_special_tokens=False).ids)
         return sum(map(self.__getitem__, self.find(text)))
 
 
 class WordIds(dict):
-    """normalised pre-token -> its ids as little-endian 32-bit numbers, for a tokenizer with word ends."""
+    """chunk of normalised text between white space -> its ids as little-endian 32-bit numbers, for a tokenizer with
+    word ends. No pre-token spans white space, so a chunk's ids don't depend on its neighbours."""
 
     LIMIT = 1_000_000
 
@@ -117,21 +128,22 @@ class WordIds(dict):
         super().__init__()
         self.bpe, self.find = ByteBpe(spec), regex.compile(WORD_PATTERN).findall
 
-    def __missing__(self, pre_token: str) -> bytes:
+    def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        spelled = "".join(self.bpe.spelled(pre_token))
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.bpe.library.model.tokenize(spelled))
-        if len(pre_token) < 100:
-            self[pre_token] = ids
+        merged = self.bpe.library.model.tokenize
+        pre_tokens = ("".join(self.bpe.spelled(p)) for p in self.find(chunk))
+        ids = b"".join(t.id.to_bytes(4, "little") for p in pre_tokens for t in merged(p))
+        if len(chunk) < 100:
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if RARE.search(text) or any(s in text for s in self.bpe.specials):
+        if not is_plain(text, self.bpe.specials):
             ids = self.bpe.library.encode(text, add_special_tokens=False).ids
             return b"".join(i.to_bytes(4, "little") for i in ids)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return b"".join(map(self.__getitem__, self.find(text.lower())))
+        return b"".join(map(self.__getitem__, text.lower().split()))
