@@ -86,9 +86,17 @@ def crossings(x1: Column, y1: Column, x2: Column, y2: Column, side: float = SIDE
     return F.array_sort(F.array_distinct(F.concat(ends, on_x, on_y)))
 
 
+def nearest_whole(v: Column) -> Column:
+    """Rounded, halves away from zero, as bigint. ``round`` on doubles goes through decimals, which costs far more."""
+    size = F.abs(v)
+    whole = F.floor(size)
+    whole = whole + (size - whole >= 0.5).cast("int")
+    return F.when(v < 0, -whole).otherwise(whole)
+
+
 def cell(x: Column, side: float = SIDE, toward_zero: bool = False) -> Column:
     """The tile coordinate of a coordinate rounded to 1/255 of a side: floored, or truncated toward zero."""
-    fine = F.round(x * 255 / side).cast("bigint")
+    fine = nearest_whole(x * 255 / side)
     return F.call_function("div", fine, F.lit(255)) if toward_zero else F.call_function("div", fine - F.pmod(fine, F.lit(255)), F.lit(255))
 
 
@@ -102,14 +110,28 @@ def tiles_of(x: Column, y: Column, side: float = SIDE) -> Column:
     return F.flatten(F.transform(steps_x, lambda i: F.transform(steps_y, lambda j: F.struct((tx + i).alias("tx"), (ty + j).alias("ty")))))
 
 
+def cell_span(v: Column, side: float = SIDE) -> tuple[Column, Column]:
+    """The first and last tile coordinate that a coordinate belongs to."""
+    t = cell(v, side)
+    low, high = v - t.cast("double") * side < BORDER, (t + 1).cast("double") * side - v < BORDER
+    return t - low.cast("int"), t + high.cast("int")
+
+
 def common_tile(x1: Column, y1: Column, x2: Column, y2: Column, side: float = SIDE) -> Column:
-    """The least tile that both points belong to; null if there is none."""
-    return F.array_min(F.array_intersect(tiles_of(x1, y1, side), tiles_of(x2, y2, side)))
+    """The least tile that both points belong to; null if there is none. A point's tiles are all pairs of its spans on
+    the two axes, so what two points share is the spans' overlap on each."""
+    least, last = [], []
+    for a, b in ((x1, x2), (y1, y2)):
+        (a0, a1), (b0, b1) = cell_span(a, side), cell_span(b, side)
+        least.append(F.greatest(a0, b0))
+        last.append(F.least(a1, b1))
+    shared = (least[0] <= last[0]) & (least[1] <= last[1])
+    return F.when(shared, F.struct(least[0].alias("tx"), least[1].alias("ty")))
 
 
 def quantise(v: Column, tile: Column, side: float = SIDE) -> Column:
     """Place inside a tile as 0 to 255."""
-    return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round((v - tile.cast("double") * side) * 255 / side))).cast("int")
+    return F.least(F.lit(255), F.greatest(F.lit(0), nearest_whole((v - tile.cast("double") * side) * 255 / side))).cast("int")
 
 
 def dequantise(c: Column, tile: Column, side: float = SIDE) -> Column:

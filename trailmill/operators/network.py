@@ -76,9 +76,13 @@ def cut_on_grid(segments: DataFrame, side: float = g.SIDE) -> DataFrame:
 
 
 def tile_edges(cut: DataFrame, side: float = g.SIDE) -> DataFrame:
-    """Cut segments with the least tile that holds both ends."""
+    """Cut segments with the least tile that holds both ends.
+
+    The tile comes out of a generator of one row: conditions on what is computed from it later aren't pushed below,
+    where they would each work it out again.
+    """
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    rows = cut.withColumn("tile", g.common_tile(*ends, side))
+    rows = cut.withColumn("tile", F.explode(F.array(g.common_tile(*ends, side))))
     return rows.select(*[c for c in cut.columns if c not in ("x1", "y1", "x2", "y2")], F.col("tile.tx").alias("tx"), F.col("tile.ty").alias("ty"), "x1", "y1", "x2", "y2")
 
 
