@@ -28,9 +28,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _are_stars(edges: DataFrame) -> bool:
-    twice = edges.groupBy("u").count().where("count > 1").select("u")
-    inner = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
-    return twice.unionByName(inner).limit(1).count() == 0
+    """Whether no node is the larger end of two edges, or the larger end of one and the smaller of another."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(2).alias("n")), F.struct(F.col("v").alias("node"), F.lit(1).alias("n")))).alias("e"))
+    uses = ends.select("e.*").groupBy("node").agg(F.max("n").alias("most"), F.count("*").alias("times"))
+    return uses.where("most = 2 and times > 1").limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lower_words, mixed, ragged, shingle_prints, word_prints
@@ -25,7 +25,7 @@ class MinHash:
     percent: int = 75
     seed: int = 5
     #: Least share of equal minima that signature verification lets through: five deviations below the threshold.
-    least_match: float = 0.58
+    least_match: float = 0.55
 
     @property
     def hashes(self) -> int:
@@ -82,6 +82,16 @@ def _sketches(how: MinHash) -> Callable:
     return sketches
 
 
+def _match(a: Column, b: Column) -> Column:
+    """Share of equal minima of two sketches."""
+
+    @F.arrow_udf("double")
+    def match(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([float((np.frombuffer(x.as_py(), "<u2") == np.frombuffer(y.as_py(), "<u2")).mean()) for x, y in zip(a, b)], pa.float64())
+
+    return match(a, b)
+
+
 def _verify(how: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by hub and chunk, the hub's own text first: the pairs whose full sets are similar enough."""
@@ -121,38 +131,78 @@ def verified(pairs: DataFrame, pool: DataFrame, how: MinHash) -> DataFrame:
     return rows.mapInArrow(_verify(how), f"u {kind}, v {kind}")
 
 
-def _cross_pairs(how: MinHash) -> Callable[[pa.Table], pa.Table]:
-    def cross_pairs(rows: pa.Table) -> pa.Table:
-        """One square of one band's bucket: pairs of different components whose signatures and sizes agree."""
+#: Classes on one side of a square; a task holds the sets of two sides.
+SQUARE = 512
+
+
+def _square(how: MinHash) -> Callable[[pa.Table], pa.Table]:
+    def square(rows: pa.Table) -> pa.Table:
+        """All pairs across two sides of a group, counted on full sets: edges that span what is similar in it.
+
+        Each set's intersections with all others come from one count over the postings of its shingles.
+        """
+        ids, sides, known = rows["id"].to_pylist(), rows["side"].to_numpy(), rows["component"].to_pylist()
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(rows.num_rows, how.hashes)
-        comp, n, side = (rows[c].to_numpy() for c in ("component", "n", "side"))
-        ids = rows["id"].to_pylist()
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out: set[tuple] = set()
-        for x in left:
-            ys = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= how.percent * np.maximum(n[right], n[x]))]
-            match = (sketch[ys] == sketch[x]).mean(axis=1) if len(ys) else ys
-            out.update((max(ids[x], ids[y]), min(ids[x], ids[y])) for y in ys[match >= how.least_match])
+        sets = [shingle_set(t.as_py(), how.shingle) for t in rows["text"]]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        values, _ = ragged(sets, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), n)
+        found, number = np.unique(values, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        posted, begins = owner[order], np.searchsorted(number[order], np.arange(len(found) + 1))
+        parent = list(range(len(sets)))
+        first: dict = {}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, component in enumerate(known):  # what is linked already needs no edge
+            parent[x] = first.setdefault(component, x)
+        us, vs = [], []
+        ends = np.cumsum(n)
+        for x in np.flatnonzero(sides == i):
+            own = number[ends[x] - n[x] : ends[x]]
+            size = begins[own + 1] - begins[own]
+            at = np.repeat(begins[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            common = np.bincount(posted[at], minlength=len(sets))
+            alike = (100 * common >= how.percent * (n + n[x] - common)) & (sides == j) & (n > 0)
+            for y in np.flatnonzero(alike):
+                a, b = root(x), root(int(y))
+                if a != b:
+                    parent[a] = b
+                    us.append(ids[x])
+                    vs.append(ids[y])
         kind = rows.schema.field("id").type
-        return pa.table({"id": pa.array([a for a, _ in out], kind), "hub": pa.array([b for _, b in out], kind)})
+        return pa.table({"u": pa.array(us, kind), "v": pa.array(vs, kind)})
 
-    return cross_pairs
+    return square
 
 
-def _residual(banded: DataFrame, buckets: DataFrame, reps: DataFrame, of: DataFrame, tried: DataFrame, how: MinHash) -> DataFrame:
-    """Candidate pairs that star links left open: in buckets with several components, all pairs across them. Buckets
-    are cut into squares of 512 by 512 rows, so that a task holds one square; nothing is emitted but what passes."""
-    rows = banded.join(buckets.where("size > 2"), "key").join(of, banded["id"] == of["node"], "left")
-    rows = rows.select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows = rows.join(open_keys, "key").join(reps.select("id", "n", "sketch"), "id")
-    sides = F.ceil(F.col("size") / 512)
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), sides)).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    rows = rows.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "size")
-    kind = dict(reps.dtypes)["id"]
-    pairs = rows.groupBy("key", "i", "j").applyInArrow(_cross_pairs(how), f"id {kind}, hub {kind}").distinct()
-    return pairs.join(tried, ["id", "hub"], "left_anti")
+def _residual(banded: DataFrame, buckets: DataFrame, pool: DataFrame, of: DataFrame, how: MinHash) -> DataFrame:
+    """Edges between components that stars left apart, from every pair that can share a bucket.
+
+    The buckets that hold several components join their classes to groups. A group's pairs are compared in squares of
+    512 by 512 classes, so a task holds two sides' sets and sends back only edges that span them.
+    """
+    rows = banded.join(buckets, "key").join(of, F.col("id") == of["node"], "left")
+    rows = cut(rows.select("key", "id", "hub", F.coalesce("component", "id").alias("component")))
+    if not rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").limit(1).count():
+        kind = dict(pool.dtypes)["id"]
+        return pool.sparkSession.createDataFrame([], f"u {kind}, v {kind}")
+    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    rows = cut(rows.join(mixed_keys, "key").groupBy("id", "hub", "component").agg(F.count("*").alias("shared")))
+    group = components(rows.select(F.col("id").alias("u"), F.col("hub").alias("v")))
+    members = rows.select("id", "component").distinct().join(group, F.col("id") == group["node"], "left")
+    members = members.select("id", rows["component"], F.coalesce(group["component"], "id").alias("group"))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / SQUARE).alias("sides"))
+    members = members.join(sizes, "group").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    members = members.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "sides")
+    kind = dict(pool.dtypes)["id"]
+    return members.join(pool, "id").groupBy("group", "i", "j").applyInArrow(_square(how), f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,34 +210,33 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "do
 
     Texts are similar if their sets of distinct 5-word shingles (A-Z lower-cased; with fewer words, the whole
     sequence) have 100 * intersection >= 75 * union. Rows of equal sets form a class, which its smallest id stands
-    for. Classes that agree in a band are candidates; every candidate pair is either confirmed on full sets, refused
-    by signature, size or full sets, or lies in one component already. Null and empty texts have no shingles and
-    link with nothing; a row with a null id links with nothing, has a null component and is kept. Rows that share an
+    for. Classes that agree in a band are candidates. Each class is first held against one hub, by signature and then
+    on full sets; buckets that still hold several components are compared whole, on full sets. Null and empty texts
+    have no shingles and link with nothing; a row with a null id links with nothing, has a null component and is kept.
+    Rows that share an
     id are one node. Other columns are left out; an empty table gives an empty result.
     """
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
     made = texts.select("id", _sketches(how)(F.col("text")).alias("s"))
     sketched = cut(made.select("id", "s.n", "s.print", "s.bands", "s.sketch"))
-    classes = sketched.where("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = sketched.where("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = cut(classes)
     banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
     star = cut(banded.join(buckets, "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared")))
     involved = star.select("id").unionByName(star.select(F.col("hub").alias("id"))).distinct()
-    pool = cut(texts.join(involved, "id", "left_semi"))
-
-    # Each class first tries the hub with which it shares the most bands; then only what is still apart is tried.
-    first = star.groupBy("id").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    links = cut(verified(first, pool, how))
-    of = components(links)
-    a, b = of.select(F.col("node").alias("id"), F.col("component").alias("ca")), of.select(F.col("node").alias("hub"), F.col("component").alias("cb"))
-    apart = star.select("id", "hub").join(a, "id", "left").join(b, "hub", "left").where("coalesce(ca, id) <> coalesce(cb, hub)").select("id", "hub")
-    second = apart.join(first, ["id", "hub"], "left_anti")
-    links = cut(links.unionByName(verified(second, pool, how)))
-    of = components(links)
-    rest = cut(_residual(banded, buckets, reps, of, star.select("id", "hub"), how))
-    if rest.limit(1).count():
-        of = components(links.unionByName(verified(rest, pool, how)))
+    # merged at every size: the ids have no bound that would allow sending them to all tasks
+    pool = cut(texts.join(involved.hint("merge"), "id", "left_semi"))
+
+    # Each class tries one hub: the least of those that share half the bands of a pair at the threshold, so that most
+    # of a group meets in one, else the one that shares most. What is still apart is compared in squares.
+    likely_hub = F.min(F.when(F.col("shared") >= how.bands * (how.percent / 100) ** how.rows / 2, F.col("hub")))
+    best = star.groupBy("id").agg(F.coalesce(likely_hub, F.max_by("hub", F.struct("shared", "hub"))).alias("hub"))
+    own, its = reps.select("id", F.col("sketch").alias("own")), reps.select(F.col("id").alias("hub"), F.col("sketch").alias("its"))
+    likely = best.join(own, "id").join(its, "hub").where(_match(F.col("own"), F.col("its")) >= how.least_match)
+    links = cut(verified(likely.select("id", "hub"), pool, how))
+    more = cut(_residual(banded, buckets, pool, components(links), how))
+    of = components(links.unionByName(more))
 
     rep = reps.select("print", F.col("id").alias("rep")).join(of, F.col("rep") == of["node"], "left").select("print", F.coalesce("component", "rep").alias("component"))
     found = sketched.select("id", "n", "print").join(rep, "print", "left")
