@@ -122,7 +122,7 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
         linked = np.flatnonzero(same & (rest[0] != rest[0][head]))
         if len(linked):
-            yield _blob(-1, keys[linked], [*(x[linked] for x in rest), *(x[head[linked]] for x in rest[:4])])
+            yield _blob(-1 - int(keys[linked[0]] >> np.uint64(40)), keys[linked], [*(x[linked] for x in rest), *(x[head[linked]] for x in rest[:4])])
         keys, rest = keys[~same], [x[~same] for x in rest]
         edges = _bounds(keys, bits)
         for bucket in np.flatnonzero(np.diff(edges)):
@@ -149,7 +149,7 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
 
 def _blob(bucket: int, keys: np.ndarray, rest: list[np.ndarray]) -> pa.RecordBatch:
-    """Windows of one bucket; bucket -1 holds windows already linked, with the first text's fields at the end."""
+    """Windows of one bucket; those below 0 hold windows already linked, with the first text's fields at the end."""
     fields = rest[:5] if bucket >= 0 else [np.concatenate([x, y]) for x, y in zip(rest[:4], rest[5:])] + [rest[4]]
     return pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [pack_sorted(keys)]} | {f: [pack(x)] for f, x in zip(FIELDS, fields)})
 
@@ -161,16 +161,18 @@ def _pairs(doc, hub, own, its, hashes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(hashes, pa.int32())], [*names, "hash"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys = unpack_sorted(row["keys"])
-            own, its = zip(*(np.split(unpack(row[f]), 2) for f in FIELDS[:4]))
-            yield _pairs(own[0], its[0], own[1:], its[1:], (keys & np.uint64(7)).astype(np.int32))
+def _linked(blobs: pa.Table) -> pa.Table:
+    parts = []
+    for row in blobs.to_pylist():
+        own, its = zip(*(np.split(unpack(row[f]), 2) for f in FIELDS[:4]))
+        parts.append(_pairs(own[0], its[0], own[1:], its[1:], (unpack_sorted(row["keys"]) & np.uint64(7)).astype(np.int32)))
+    return pa.Table.from_batches(parts)
 
 
 def _stars(blobs: pa.Table) -> pa.Table:
     """One bucket: every window is linked to the first text's that has its value and the same token on either side."""
+    if blobs["bucket"][0].as_py() < 0:
+        return _linked(blobs)
     keys = np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]])
     doc, c, before, after, sides = (np.concatenate([unpack(x.as_py()) for x in blobs[f]]) for f in FIELDS)
     members, heads = [], []
@@ -216,9 +218,9 @@ def _stretches(anchors: np.ndarray, how: Passages) -> list[tuple[int, int]]:
 def spans_between(mine: np.ndarray, other: np.ndarray, anchors: np.ndarray, how: Passages) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of ``mine`` (word fingerprints) that ``other`` has too: start, words, start and words there,
     similarity. ``anchors`` has columns c, hc, before, after, hbefore, hafter, hash."""
-    a, b = shingle_prints(mine, how.shingle), shingle_prints(other, how.shingle)
     if len(mine) == len(other) and (mine == other).all():
         return [(0, len(mine), 0, len(other), 1.0)]
+    a, b = shingle_prints(mine, how.shingle), shingle_prints(other, how.shingle)
     found: list[tuple[int, int, int, int, float]] = []
     covered = np.zeros(len(a), bool)
     c, hc, before, after, hbefore, hafter, hashes = anchors.T
@@ -235,9 +237,9 @@ def spans_between(mine: np.ndarray, other: np.ndarray, anchors: np.ndarray, how:
             if e - s < how.run or he - hs < how.run:
                 continue
             both = np.flatnonzero(np.isin(a[s:e], b[hs:he])) + s
-            back = np.flatnonzero(np.isin(b[hs:he], a[s:e])) + hs
-            if not len(both):
+            if 100 * len(both) < how.percent * how.run:
                 continue
+            back = np.flatnonzero(np.isin(b[hs:he], a[s:e])) + hs
             s, e, hs, he = int(both[0]), int(both[-1]) + 1, int(back[0]), int(back[-1]) + 1
             if e - s < how.run or he - hs < how.run:
                 continue
@@ -305,11 +307,9 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages(), doc_id: str =
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text")).where("id is not null and text is not null")
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(0, (n_bytes // 6 * 2 * how.hashes // how.run // 1_000_000).bit_length())
-    blobs = cut(texts.mapInArrow(_windows(how, bits), BLOBS))
-    across = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_stars, PAIR)
-    within = blobs.where("bucket < 0").mapInArrow(_linked, PAIR)
+    links = texts.mapInArrow(_windows(how, bits), BLOBS).groupBy("bucket").applyInArrow(_stars, PAIR)
     anchor = F.struct("c", "hc", "before", "after", "hbefore", "hafter", "hash")
-    pairs = across.unionByName(within).groupBy("doc", "hub").agg(F.collect_list(anchor).alias("anchors"))
+    pairs = links.groupBy("doc", "hub").agg(F.collect_list(anchor).alias("anchors"))
     pairs = cut(pairs.where(F.size(F.array_distinct("anchors.hash")) >= how.enough))
 
     times = pairs.groupBy("hub").agg(F.count("*").alias("times"))
