@@ -139,6 +139,29 @@ def test_passages(spark, docs, rows, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def edited_passages(kind, pairs=40, seed=3):
+    """Pairs of texts of their own random words that share a passage, the second with words inserted or left out."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    n, places = kind
+    out = []
+    for p in range(pairs):
+        passage = fresh(n)
+        copy = list(passage)
+        for at in sorted((abs(x) for x in places), reverse=True):
+            copy[at : at + (-at in places)] = [] if -at in places else fresh(1)
+        out += [(2 * p, " ".join(fresh(70) + passage + fresh(70))), (2 * p + 1, " ".join(fresh(70) + copy + fresh(70)))]
+    return out
+
+
+@pytest.mark.parametrize("kind", [(50, (25,)), (80, (27, 53)), (100, (25, 50, 75)), (60, (-30,)), (100, (-33, 66))])
+def test_passages_with_words_inserted_and_left_out(spark, kind):
+    rows = edited_passages(kind)
+    got = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {(i, i - 1) for i in range(1, len(rows), 2)}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_cut_out():
     assert passages._cut_out("a b  c\nd é", [{"start": 1, "words": 2}]) == "a\nd é"
     assert passages._cut_out(None, [{"start": 0, "words": 1}]) is None and passages._cut_out("a a", [{"start": 0, "words": 2}]) == ""

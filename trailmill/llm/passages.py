@@ -105,13 +105,17 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
         starts, tokens = np.cumsum(sizes) - sizes, np.concatenate(texts)
         of = np.array(ids, np.int64)
         parts = []
+        half = how.run // 2
+        spread = mixed(tokens)
+        lows = [(sliding_minimum(spread, n) & np.uint64(0xFFFF), first, n) for first, n in ((1 - half, half - 1), (1, half))]
         for j in range(how.hashes):
             c, left, right = compact_windows(tokens, starts, how.run, a[j], b[j])
             doc = np.searchsorted(starts, c, side="right") - 1
             key = mixed(tokens[c] * a[j] + b[j]) >> np.uint64(3) << np.uint64(3) | np.uint64(j)
-            # any run of the least length around c holds the token half a run before or after it: 16 bits of each
-            begin, end = starts[doc], starts[doc] + sizes[doc] - 1
-            sides = [tokens[np.clip(c + d, begin, end)] >> np.uint64(48) for d in (-(how.run // 2) + 1, how.run // 2)]
+            # any run of the least length around c holds the half run before or after it; the least token of a half
+            # stays the same where words are inserted or left out: 16 bits of each
+            begin, end = starts[doc], starts[doc] + sizes[doc]
+            sides = [low[np.clip(c + first, begin, end - n)] for low, first, n in lows]
             parts.append((key, of[doc].view(np.uint64), (c - begin).view(np.uint64), (c - left).view(np.uint64), (right - c).view(np.uint64), sides[0] << np.uint64(16) | sides[1]))
         keys, *rest = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((rest[1], rest[0].view(np.int64), rest[-1], keys))
@@ -170,13 +174,14 @@ def _linked(blobs: pa.Table) -> pa.Table:
 
 
 def _stars(blobs: pa.Table) -> pa.Table:
-    """One bucket: every window is linked to the first text's that has its value and the same token on either side."""
+    """One bucket: every window is linked to the first text's that has its value, and to the first that has the same
+    least token on either side too."""
     if blobs["bucket"][0].as_py() < 0:
         return _linked(blobs)
     keys = np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]])
     doc, c, before, after, sides = (np.concatenate([unpack(x.as_py()) for x in blobs[f]]) for f in FIELDS)
     members, heads = [], []
-    for group in (sides >> np.uint64(16), sides & np.uint64(0xFFFF)):
+    for group in (np.zeros_like(sides), sides >> np.uint64(16), sides & np.uint64(0xFFFF)):
         order = np.lexsort((c, doc.view(np.int64), group, keys))
         k, g = keys[order], group[order]
         first = np.ones(len(k), bool)
