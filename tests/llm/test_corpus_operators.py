@@ -162,6 +162,25 @@ def test_passages_with_words_inserted_and_left_out(spark, kind):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("stray", [0, 8, 20, 40])
+def test_passages_beside_a_repeated_phrase(stray):
+    """An edited passage of which a 5-word run occurs once more in the other text, before or after it."""
+    rng, how = np.random.default_rng(stray), passages.Passages()
+    fresh = lambda n: rng.integers(0, 2**62, n).astype(np.uint64)
+    for trial in range(20):
+        passage = fresh(80)
+        copy = passage.copy()
+        copy[40] = 1
+        phrase, at = passage[20:25], (fresh(60), fresh(stray))
+        sides = [fresh(60), np.concatenate([at[1], phrase, at[0]])]
+        if trial % 2:
+            sides = [np.concatenate([at[0], phrase, at[1]]), fresh(60)]
+        mine, other = np.concatenate([fresh(70), copy, fresh(70)]), np.concatenate([sides[0], passage, sides[1]])
+        for x, y in ((mine, other), (other, mine)):
+            got = passages.spans_between(x, y, how)
+            assert len(got) == 1 and got[0][1] >= 75 and got[0][4] >= 0.75
+
+
 def test_cut_out():
     assert passages._cut_out("a b  c\nd é", [{"start": 1, "words": 2}]) == "a\nd é"
     assert passages._cut_out(None, [{"start": 0, "words": 1}]) is None and passages._cut_out("a a", [{"start": 0, "words": 2}]) == ""

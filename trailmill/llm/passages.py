@@ -3,8 +3,8 @@
 The tokens of a text are its 5-word shingles. For one hash function, the Cartesian tree over the tokens' hashes groups
 all runs of tokens whose least hash lies at the same place c: the runs that begin in [l, c] and end in [c, r]. Such a
 compact window stands for all these runs at once, and only windows that hold a run of the least length are kept. Two
-passages that share a least hash lie in two windows with the same value. Windows meet by value; where the windows of
-enough hash functions between two texts cover a stretch, its passages are verified on the words themselves.
+passages that share a least hash lie in two windows with the same value. Windows meet by value; where enough hash
+functions link two texts, all their passages are found and verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -90,9 +90,9 @@ def compact_windows(tokens: np.ndarray, starts: np.ndarray, run: int, a: np.uint
     return c, np.array(left, np.int64), np.array(right, np.int64)
 
 
-FIELDS = ("doc", "c", "before", "after", "sides")
+FIELDS = ("doc", "c", "sides")
 BLOBS = "bucket bigint, keys binary, " + ", ".join(f"{f} binary" for f in FIELDS)
-PAIR = "doc bigint, hub bigint, c bigint, hc bigint, before bigint, after bigint, hbefore bigint, hafter bigint, hash int"
+PAIR = "doc bigint, hub bigint, hashes int"
 
 
 def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -109,14 +109,14 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
         spread = mixed(tokens)
         lows = [(sliding_minimum(spread, n) & np.uint64(0xFFFF), first, n) for first, n in ((1 - half, half - 1), (1, half))]
         for j in range(how.hashes):
-            c, left, right = compact_windows(tokens, starts, how.run, a[j], b[j])
+            c, _, _ = compact_windows(tokens, starts, how.run, a[j], b[j])
             doc = np.searchsorted(starts, c, side="right") - 1
             key = mixed(tokens[c] * a[j] + b[j]) >> np.uint64(3) << np.uint64(3) | np.uint64(j)
             # any run of the least length around c holds the half run before or after it; the least token of a half
             # stays the same where words are inserted or left out: 16 bits of each
             begin, end = starts[doc], starts[doc] + sizes[doc]
             sides = [low[np.clip(c + first, begin, end - n)] for low, first, n in lows]
-            parts.append((key, of[doc].view(np.uint64), (c - begin).view(np.uint64), (c - left).view(np.uint64), (right - c).view(np.uint64), sides[0] << np.uint64(16) | sides[1]))
+            parts.append((key, of[doc].view(np.uint64), (c - begin).view(np.uint64), sides[0] << np.uint64(16) | sides[1]))
         keys, *rest = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((rest[1], rest[0].view(np.int64), rest[-1], keys))
         keys, rest = keys[order], [x[order] for x in rest]
@@ -126,7 +126,7 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
         linked = np.flatnonzero(same & (rest[0] != rest[0][head]))
         if len(linked):
-            yield _blob(-1 - int(keys[linked[0]] >> np.uint64(40)), keys[linked], [*(x[linked] for x in rest), *(x[head[linked]] for x in rest[:4])])
+            yield _blob(-1 - int(keys[linked[0]] >> np.uint64(40)), keys[linked], [*(x[linked] for x in rest), *(x[head[linked]] for x in rest[:2])])
         keys, rest = keys[~same], [x[~same] for x in rest]
         edges = _bounds(keys, bits)
         for bucket in np.flatnonzero(np.diff(edges)):
@@ -154,23 +154,23 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def _blob(bucket: int, keys: np.ndarray, rest: list[np.ndarray]) -> pa.RecordBatch:
     """Windows of one bucket; those below 0 hold windows already linked, with the first text's fields at the end."""
-    fields = rest[:5] if bucket >= 0 else [np.concatenate([x, y]) for x, y in zip(rest[:4], rest[5:])] + [rest[4]]
+    fields = rest[:3] if bucket >= 0 else [np.concatenate([x, y]) for x, y in zip(rest[:2], rest[3:])] + [rest[2]]
     return pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [pack_sorted(keys)]} | {f: [pack(x)] for f, x in zip(FIELDS, fields)})
 
 
-def _pairs(doc, hub, own, its, hashes) -> pa.RecordBatch:
-    names = ("doc", "hub", "c", "hc", "before", "after", "hbefore", "hafter")
-    values = (doc, hub, own[0], its[0], own[1], own[2], its[1], its[2])
-    columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in values]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(hashes, pa.int32())], [*names, "hash"])
+def _pairs(doc: np.ndarray, hub: np.ndarray, keys: np.ndarray) -> pa.Table:
+    """Each pair of texts once, with a bit for each hash function whose windows link them."""
+    order = np.lexsort((hub, doc))
+    doc, hub, bit = doc[order], hub[order], np.int32(1) << (keys[order] & np.uint64(7)).astype(np.int32)
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (hub[1:] != hub[:-1]))[: len(doc)])
+    hashes = np.bitwise_or.reduceat(bit, new) if len(new) else bit
+    return pa.table({"doc": doc[new].view(np.int64), "hub": hub[new].view(np.int64), "hashes": pa.array(hashes, pa.int32())})
 
 
 def _linked(blobs: pa.Table) -> pa.Table:
-    parts = []
-    for row in blobs.to_pylist():
-        own, its = zip(*(np.split(unpack(row[f]), 2) for f in FIELDS[:4]))
-        parts.append(_pairs(own[0], its[0], own[1:], its[1:], (unpack_sorted(row["keys"]) & np.uint64(7)).astype(np.int32)))
-    return pa.Table.from_batches(parts)
+    docs = [np.split(unpack(x.as_py()), 2) for x in blobs["doc"]]
+    own, its = (np.concatenate(x) for x in zip(*docs))
+    return _pairs(own, its, np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]]))
 
 
 def _stars(blobs: pa.Table) -> pa.Table:
@@ -179,7 +179,7 @@ def _stars(blobs: pa.Table) -> pa.Table:
     if blobs["bucket"][0].as_py() < 0:
         return _linked(blobs)
     keys = np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]])
-    doc, c, before, after, sides = (np.concatenate([unpack(x.as_py()) for x in blobs[f]]) for f in FIELDS)
+    doc, c, sides = (np.concatenate([unpack(x.as_py()) for x in blobs[f]]) for f in FIELDS)
     members, heads = [], []
     for group in (np.zeros_like(sides), sides >> np.uint64(16), sides & np.uint64(0xFFFF)):
         order = np.lexsort((c, doc.view(np.int64), group, keys))
@@ -192,7 +192,7 @@ def _stars(blobs: pa.Table) -> pa.Table:
         heads.append(head[other])
     links = np.unique(np.stack([np.concatenate(members), np.concatenate(heads)]), axis=1) if len(keys) else np.empty((2, 0), np.int64)
     m, h = links
-    return pa.Table.from_batches([_pairs(doc[m], doc[h], (c[m], before[m], after[m]), (c[h], before[h], after[h]), (keys[m] & np.uint64(7)).astype(np.int32))])
+    return _pairs(doc[m], doc[h], keys[m])
 
 
 SPAN = "start bigint, words bigint, other_start bigint, other_words bigint, similarity double"
@@ -203,68 +203,97 @@ def _alike(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(np.unique(a)) + len(np.unique(b)) - common)
 
 
-def _stretches(anchors: np.ndarray, how: Passages) -> list[tuple[int, int]]:
-    """Interval join: the stretches [s, e) of a text that windows of enough hash functions cover at once."""
-    events = sorted([(s, 1, h) for s, _, h in anchors] + [(e, -1, h) for _, e, h in anchors])
-    cover, active, out, begin = [0] * how.hashes, 0, [], None
-    for at, step, h in events:
-        was = cover[h]
-        cover[h] += step
-        active += (cover[h] > 0) - (was > 0)
-        if active >= how.enough and begin is None:
-            begin = at
-        elif active < how.enough and begin is not None:
-            if at - begin >= how.run:
-                out.append((begin, at))
-            begin = None
+def _dense(shared: np.ndarray, how: Passages) -> list[tuple[int, int]]:
+    """Stretches [s, e) made of runs of the least length in which enough places are shared, from the first shared place
+    to the last."""
+    total = np.append(0, np.cumsum(shared))
+    full = np.flatnonzero(100 * (total[how.run :] - total[: -how.run]) >= how.percent * how.run)
+    if not len(full):
+        return []
+    breaks = np.flatnonzero(np.diff(full) > how.run)
+    out = []
+    for x, y in zip(full[np.append(0, breaks + 1)], full[np.append(breaks, len(full) - 1)] + how.run):
+        at = np.flatnonzero(shared[x:y])
+        out.append((int(x + at[0]), int(x + at[-1]) + 1))
     return out
 
 
-def spans_between(mine: np.ndarray, other: np.ndarray, anchors: np.ndarray, how: Passages) -> list[tuple[int, int, int, int, float]]:
+def _densest(shared: np.ndarray, n: int) -> int:
+    total = np.append(0, np.cumsum(shared))
+    return int((total[n:] - total[:-n]).argmax())
+
+
+def _runs(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprint of each run of n tokens, from runs of powers of two."""
+    out, size = tokens, 1
+    while 2 * size <= n:
+        out = mixed(out[:-size] * np.uint64(3) + out[size:])
+        size *= 2
+    return mixed(out[: len(out) - (n - size)] * np.uint64(5) + out[n - size :]) if n > size else out
+
+
+def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of ``mine`` (word fingerprints) that ``other`` has too: start, words, start and words there,
-    similarity. ``anchors`` has columns c, hc, before, after, hbefore, hafter, hash."""
+    similarity."""
     if len(mine) == len(other) and (mine == other).all():
         return [(0, len(mine), 0, len(other), 1.0)]
     a, b = shingle_prints(mine, how.shingle), shingle_prints(other, how.shingle)
     found: list[tuple[int, int, int, int, float]] = []
     covered = np.zeros(len(a), bool)
-    c, hc, before, after, hbefore, hafter, hashes = anchors.T
-    left, right = np.minimum(before, hbefore), np.minimum(after, hafter)
-    reach = np.stack([c - before, c + after + 1, hashes], axis=1)
-    for s, e in _stretches(reach, how):
-        inside = (c >= s) & (c < e)
-        if not inside.any():
+
+    def verified(s: int, e: int, hs: int, he: int) -> bool:
+        likeness = _alike(a[s:e], b[hs:he])
+        if 100 * likeness < how.percent:
+            return False
+        found.append((s, e - s + how.shingle - 1, hs, he - hs + how.shingle - 1, likeness))
+        covered[s:e] = True
+        return True
+
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        s, e, hs, he = parts.pop()
+        if e - s < how.run or he - hs < how.run or covered[s:e].all():
             continue
-        shift = hc[inside] - c[inside]
-        parts = [(s, e, max(0, s + int(shift.min())), min(len(b), e + int(shift.max())))]
-        while parts:
-            s, e, hs, he = parts.pop()
-            if e - s < how.run or he - hs < how.run:
-                continue
-            both = np.flatnonzero(np.isin(a[s:e], b[hs:he])) + s
-            if 100 * len(both) < how.percent * how.run:
-                continue
-            back = np.flatnonzero(np.isin(b[hs:he], a[s:e])) + hs
-            s, e, hs, he = int(both[0]), int(both[-1]) + 1, int(back[0]), int(back[-1]) + 1
-            if e - s < how.run or he - hs < how.run:
-                continue
-            likeness = _alike(a[s:e], b[hs:he])
-            if 100 * likeness >= how.percent:
-                found.append((s, e - s + how.shingle - 1, hs, he - hs + how.shingle - 1, likeness))
-                covered[s:e] = True
+        both = np.isin(a[s:e], b[hs:he])
+        dense = _dense(both, how)
+        if dense != [(0, e - s)]:
+            parts += [(s + x, s + y, hs, he) for x, y in reversed(dense)]
+            continue
+        back = np.isin(b[hs:he], a[s:e])
+        dense = _dense(back, how)
+        if dense != [(0, he - hs)]:
+            parts += [(s, e, hs + x, hs + y) for x, y in reversed(dense)]
+            continue
+        if verified(s, e, hs, he):
+            continue
+        # the wider gap of the two sides parts the stretch; where nothing long enough is left, the best runs are tried
+        at, its = np.flatnonzero(both), np.flatnonzero(back)
+        gap, its_gap = int(np.diff(at).argmax()), int(np.diff(its).argmax())
+        width, its_width = at[gap + 1] - at[gap], its[its_gap + 1] - its[its_gap]
+        if max(width, its_width) > 1:
+            if its_width > width:
+                pieces = [(s, e, hs, hs + int(its[its_gap]) + 1), (s, e, hs + int(its[its_gap + 1]), he)]
+            else:
+                pieces = [(s, s + int(at[gap]) + 1, hs, he), (s + int(at[gap + 1]), e, hs, he)]
+            pieces = [p for p in pieces if p[1] - p[0] >= how.run and p[3] - p[2] >= how.run]
+            parts += reversed(pieces)
+            if pieces:
                 continue
-            gap = int(np.diff(both).argmax())
-            if both[gap + 1] - both[gap] > 1:
-                cut_at, on = int(both[gap]) + 1, int(both[gap + 1])
-                parts += [(s, cut_at, hs, he), (on, e, hs, he)]
-    # equal runs around what is left
-    for i in np.argsort(c, kind="stable"):
-        if covered[c[i]]:
+        x = s + _densest(both, how.run)
+        y = hs + _densest(np.isin(b[hs:he], a[x : x + how.run]), how.run)
+        verified(x, x + how.run, y, y + how.run)
+    # equal runs in what is left
+    if covered.all() or min(len(a), len(b)) < how.run:
+        return found
+    runs, its_runs = _runs(a, how.run), _runs(b, how.run)
+    known, first = np.unique(its_runs, return_index=True)
+    place = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+    for x in np.flatnonzero(known[place] == runs).tolist():
+        if covered[x : x + how.run].all():
             continue
-        x, y = int(c[i]), int(hc[i])
-        n = min(len(mine) - x, len(other) - y)
+        y = int(first[place[x]])
+        n, m = min(len(mine) - x, len(other) - y), min(x, y)
         ahead = mine[x : x + n] != other[y : y + n]
-        m = min(x, y)
         behind = mine[x - m : x][::-1] != other[y - m : y][::-1]
         fore = int(ahead.argmax()) if ahead.any() else n
         aft = int(behind.argmax()) if behind.any() else m
@@ -287,13 +316,11 @@ def _verify(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 own = word_prints(lower_words(row["text"]))
                 if at != (row["hub"], row["chunk"]):
                     at, hubs = (row["hub"], row["chunk"]), []
-                if row["anchors"] is None:
+                if row["role"] == 0:
                     hubs.append(own)
                     continue
-                anchors = np.array([tuple(x.values()) for x in row["anchors"]], np.int64)
                 for hub in hubs:
-                    inside = anchors[(anchors[:, 0] < len(own)) & (anchors[:, 1] < len(hub))]
-                    rows += [(row["id"], row["hub"], *span) for span in spans_between(own, hub, inside, how)] if len(inside) else []
+                    rows += [(row["id"], row["hub"], *span) for span in spans_between(own, hub, how)]
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names))
 
@@ -313,16 +340,14 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages(), doc_id: str =
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(0, (n_bytes // 6 * 2 * how.hashes // how.run // 1_000_000).bit_length())
     links = texts.mapInArrow(_windows(how, bits), BLOBS).groupBy("bucket").applyInArrow(_stars, PAIR)
-    anchor = F.struct("c", "hc", "before", "after", "hbefore", "hafter", "hash")
-    pairs = links.groupBy("doc", "hub").agg(F.collect_list(anchor).alias("anchors"))
-    pairs = cut(pairs.where(F.size(F.array_distinct("anchors.hash")) >= how.enough))
+    pairs = links.groupBy("doc", "hub").agg(F.bit_or("hashes").alias("hashes"))
+    pairs = cut(pairs.where(F.bit_count("hashes") >= how.enough).select("doc", "hub"))
 
     times = pairs.groupBy("hub").agg(F.count("*").alias("times"))
     chunk = F.pmod(F.xxhash64("id"), F.floor(F.col("times") / 64) + 1).alias("chunk")
-    members = pairs.withColumnRenamed("doc", "id").join(times, "hub").select("id", "hub", chunk, "anchors")
-    hubs = members.select(F.col("hub").alias("id"), "hub", "chunk").distinct().withColumn("anchors", F.lit(None).cast(dict(pairs.dtypes)["anchors"]))
-    rows = members.unionByName(hubs).join(texts, "id").withColumn("order", F.col("anchors").isNotNull())
-    rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "order").drop("order")
+    members = pairs.withColumnRenamed("doc", "id").join(times, "hub").select("id", "hub", chunk, F.lit(1).alias("role"))
+    hubs = members.select(F.col("hub").alias("id"), "hub", "chunk", F.lit(0).alias("role")).distinct()
+    rows = members.unionByName(hubs).join(texts, "id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
     spans = rows.mapInArrow(_verify(how), f"doc bigint, hub bigint, {SPAN}")
     return spans.select(F.col("doc").alias(doc_id), "start", "words", F.col("hub").alias("other_id"), "other_start", "other_words", "similarity")
 
