@@ -233,3 +233,11 @@ def test_spacing_and_heights(spark):
     assert sorted(r["seq"] for r in kept.collect()) == [0, 2, 4]
     points = spark.createDataFrame([(1, 0, 1.0, 1.0, 5.5), (1, 1, 2.0, 2.0, None), (1, 2, 2.0, 2.0, 7.9), (2, 0, 1.0, 1.0, None)], "track_id int, seq int, lon double, lat double, ele double")
     assert sorted((r["track_id"], r["seq"], r["height"]) for r in track.heights(points).collect()) == [(1, 0, 5), (1, 1, 7), (1, 2, 7)]
+
+
+def test_routes_raise_when_rounds_are_spent(spark):
+    links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "a bigint, b bigint, length double")
+    sources = spark.createDataFrame([(0, 0)], "source bigint, node bigint")
+    with pytest.raises(RuntimeError):
+        graph.routes(links, sources, rounds=2)
+    assert {r["node"]: r["distance"] for r in graph.routes(links, sources).collect()} == {i: float(i) for i in range(5)}
