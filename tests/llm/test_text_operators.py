@@ -189,45 +189,88 @@ def test_code_lengths_are_exact():
         assert np.allclose(got, [slow_bits(training[x], text) for x in ("a", "b")])
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm(docs, rows, empty, order):
-    learns = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
-    texts = [(r[0], (r[1] or "").encode().lower().split() + [" end"]) for r in rows]
-    counts, contexts, kinds = Counter(), Counter(), set()
-    n = 0
+def slow_scores(texts, learns, order):
+    """Scores by dictionaries: texts are (id, words)."""
+    texts = [(i, [*words, " end"]) for i, words in texts]
+    counts, contexts, kinds, n = Counter(), Counter(), set(), 0
+    places = []
     for i, t in texts:
         if learns(i):
             n += len(t)
             kinds |= set(t)
             s = [" start", *t]
             for j in range(1, len(s)):
-                for k in range(order):
-                    if j - k >= 0:
-                        counts[tuple(s[j - k : j + 1])] += 1
-                        if k:
-                            contexts[tuple(s[j - k : j])] += 1
-    v, want = len(kinds), Counter()
+                for k in range(min(order - 1, j) + 1):
+                    counts[tuple(s[j - k : j + 1])] += 1
+                    if k:
+                        contexts[tuple(s[j - k : j])] += 1
+                        places.append((k, tuple(s[j - k : j]), tuple(s[j - k : j + 1])))
+    tokens, once = Counter(), Counter()
+    for k, context, gram in places:
+        of = k, math.ceil(math.log2(contexts[context]))
+        tokens[of] += 1
+        once[of] += counts[gram] == 1
+    v, out = len(kinds), []
     for i, t in texts:
         base = score = 0.0
         s = [" start", *t]
         for j in range(1, len(s)):
             p = (counts[(s[j],)] + 1) / (n + v + 1)
             base += math.log10(p)
-            for k in range(1, order):
-                if j - k >= 0 and (c := contexts[tuple(s[j - k : j])]):
-                    mass = 2 * c**0.9
-                    p = (counts[tuple(s[j - k : j + 1])] + mass * p) / (c + mass)
+            for k in range(1, min(order - 1, j) + 1):
+                if c := contexts[tuple(s[j - k : j])]:
+                    of = k, math.ceil(math.log2(c))
+                    e = (once[of] + 1) / (tokens[of] + 2)
+                    p = (1 - e) * counts[tuple(s[j - k : j + 1])] / c + e * p
             score += math.log10(p)
-        want[i, len(t), sum(counts[(w,)] > 0 for w in t), n, round(base, 5), round(score, 5)] += 1
+        out.append((i, len(t), sum(counts[(w,)] > 0 for w in t), n, round(base, 5), round(score, 5)))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm(docs, rows, empty, order, monkeypatch):
+    learns = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
+    want = Counter(slow_scores([(r[0], (r[1] or "").encode().lower().split()) for r in rows], learns, order))
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    got = lm.score_texts(docs, train, order).collect()
-    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
+    for chunk_bytes, entries in ((8_000_000, 2_000_000), (20_000, 3_000)):
+        monkeypatch.setattr(lm, "CHUNK_BYTES", chunk_bytes)
+        monkeypatch.setattr(lm, "BUCKET_ENTRIES", entries)
+        got = lm.score_texts(docs, train, order).collect()
+        assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
     if order == 2:
         assert lm.score_texts(empty, F.lit(True)).count() == 0
         untrained = lm.score_texts(docs, F.lit(False)).collect()
         assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in untrained)
 
 
+def test_lanes_carry_the_state():
+    """Lanes of any length give the sum that one pass over each text gives; every state's weights sum to 1."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)).encode() for n in (0, 1, 40, 333, 7)]
+    chunk = lm.Chunk(texts, np.array([True, True, True, False, True]))
+    for k in range(3):
+        chunk.learn(None)
+        if k < 2:
+            chunk.longer()
+    n, v = int(chunk.own[0].sum() - chunk.own[0][chunk.prints[0] == lm.START].sum()), int(((chunk.own[0] > 0) & (chunk.prints[0] != lm.START)).sum())
+    escapes = np.full((3, 64), 0.3)
+    whole = chunk.traverse(n, v, escapes, lane=1000)
+    for lane in (1, 2, 7, 64):
+        assert np.allclose(chunk.traverse(n, v, escapes, lane), whole)
+
+
+def test_lm_tells_copies_from_the_rest(spark):
+    """Texts that training has twice score above texts that it has once, a token of theirs on average."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    once, twice = [word(150) for _ in range(300)], [word(150) for _ in range(20)]
+    texts = [" ".join(t) for t in [*once, *twice, *twice]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in lm.score_texts(table, F.col("doc_id") % 7 != 2).collect()}
+    learned = [i for i in range(300, 320) if i % 7 != 2 and (i + 20) % 7 != 2]
+    assert min(got[i] for i in learned) > max(got[i] for i in range(300))
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1)))
 def test_packed_numbers(values):

@@ -94,7 +94,7 @@ class ByteBpe:
 class TokenCounter(dict):
     """pre-token -> number of tokens. Proven whole tokens are there from the start; the rest is merged when met."""
 
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __init__(self, spec: str, whole: list[str]) -> None:
         super().__init__(dict.fromkeys(whole, 1))
@@ -122,7 +122,7 @@ class WordIds(dict):
     """chunk of normalised text between white space -> its ids as little-endian 32-bit numbers, for a tokenizer with
     word ends. No pre-token spans white space, so a chunk's ids don't depend on its neighbours."""
 
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __init__(self, spec: str) -> None:
         super().__init__()

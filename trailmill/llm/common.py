@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Where it is unset, a local master gets a temporary folder, any other master a folder in the warehouse.
+    Where it is unset, a local master gets a temporary folder; any other master raises.
     """
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,22 +36,60 @@ def shared_dir(spark: SparkSession) -> str:
             _own_dir = _own_dir or tempfile.mkdtemp(prefix="trailmill-")
             base = "file://" + _own_dir
         else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/trailmill-cuts/{spark.sparkContext.applicationId}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: later stages neither repeat nor lose it."""
+    """Write ``df`` as Parquet to the shared folder and read it again: later stages neither repeat nor lose it.
+
+    The shuffle files of the write go as soon as it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` wrote in this application. Results that read them must be written before."""
+def cuts(spark: SparkSession) -> set[str]:
+    """The tables that ``cut`` has written in this application and that are still there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(f.getPath()) for f in files.listStatus(path)} if files.exists(path) else set()
+
+
+def drop_cuts(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that ``cut`` wrote. Results that read them must be written before."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Give what a worker no longer uses back to the system: reused workers wait beside the ones at work."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def sliced(texts: pa.Array, n: int = 1000) -> Iterator[pa.Array]:
+    """The texts of a batch, so many at a time."""
+    for i in range(0, len(texts), n):
+        yield texts.slice(i, n)
 
 
 def crc_mod(column: Column, n: int) -> Column:
@@ -63,23 +102,37 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class Fingerprints(dict):
-    """word -> 64-bit fingerprint, remembered for the words met last."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_POWERS = [np.ones(1, np.uint64)]
 
 
-_prints = Fingerprints()
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number, modulo 2**64, as far as the longest word so far needs."""
+    if len(_POWERS[0]) < n:
+        steps = np.full(2 * n, 0x9E3779B97F4A7C15, np.uint64)
+        steps[0] = 1
+        _POWERS[0] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0]
 
 
-def word_prints(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_prints.__getitem__, words), dtype=np.uint64, count=len(words))
+def text_prints(text: bytes | None) -> np.ndarray:
+    """64-bit fingerprints of a text's words, A-Z lower-cased, in order. All words at once, and nothing is remembered:
+    a worker's memory doesn't grow with the vocabulary."""
+    if not text:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(text.lower(), np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    np.take(_IN_WORD, data, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    firsts = np.cumsum(sizes) - sizes
+    letters = data[inside[1:-1]].astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(letters)) - np.repeat(firsts, sizes)
+    letters *= _powers(int(sizes.max()))[place]
+    return mixed(np.add.reduceat(letters, firsts) + sizes.astype(np.uint64) * _M2)
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -102,7 +155,7 @@ def shingle_prints(words: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for i in range(n):
         out = mixed(out * _M1 + words[i : len(words) - n + 1 + i])
-    return out if n else words[:0]
+    return out
 
 
 def ragged(parts: Iterable[np.ndarray], dtype: type) -> tuple[np.ndarray, np.ndarray]:

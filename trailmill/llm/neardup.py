@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_words, mixed, ragged, shingle_prints, word_prints
+from .common import cut, mixed, ragged, release, shingle_prints, sliced, text_prints
 from .components import components
 
 
@@ -34,8 +34,7 @@ class MinHash:
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct fingerprints of a text's n-word shingles."""
-    words = lower_words(text)
-    return np.unique(shingle_prints(word_prints(words), n)) if words else np.empty(0, np.uint64)
+    return np.unique(shingle_prints(text_prints(text), n))
 
 
 def minima(sets: list[np.ndarray], how: MinHash) -> np.ndarray:

@@ -31,16 +31,26 @@ OP7 = rf"""with d as (select doc_id, text, source, len({_WORDS.format("coalesce(
  j as (select doc_id, text, size, source_size, target, case when source_size > 0 then target / source_size else 0 end rate from d join t on d.source is not distinct from t.source)
  select doc_id, size, source_size, target, size * (floor(rate)::bigint + (('0x' || substr(md5('7|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '') || '|'), 1, 8))::bigint / 4294967296.0::double < rate - floor(rate))::bigint) taken from j"""
 
-OP9 = rf"""with d as (select doc_id, {_crc32("coalesce(doc_id::varchar, '')")} % 7 = 2 held_out, list_concat(list_concat([' s'], {_WORDS.format(_LOWER)}), [' e']) w from documents),
- p as (select doc_id, held_out, w[i] h, w[i + 1] t from (select *, unnest(range(1, len(w))) i from d)),
+def _op9(order: int) -> str:
+    """Each token with its contexts; per order, counts of n-grams and contexts, and the escape of each class of contexts."""
+    ks = range(1, order)
+    contexts = ", ".join(f"case when i >= {k} then array_to_string(w[i - {k} + 1 : i], ' ') end h{k}" for k in ks)
+    tables = "".join(f""", g{k} as (select h{k} h, t, count(*) c from p where not held_out and h{k} is not null group by h{k}, t),
+ s{k} as (select h, sum(c)::bigint s, case when sum(c) <= 1 then 0 else length(bin(sum(c)::bigint - 1)) end kind from g{k} group by h),
+ e{k} as (select kind, (coalesce(sum(c) filter (where c = 1), 0) + 1)::double / (sum(c) + 2) e from g{k} join s{k} using (h) group by kind)""" for k in ks)
+    joins = "".join(f" left join s{k} on s{k}.h = p.h{k} left join g{k} on g{k}.h = p.h{k} and g{k}.t = p.t left join e{k} on e{k}.kind = s{k}.kind" for k in ks)
+    steps = "".join(f", case when s{k}.s is null then p{k - 1} else (1 - e{k}.e) * coalesce(g{k}.c, 0) / s{k}.s + e{k}.e * p{k - 1} end p{k}" for k in ks)
+    return rf"""with d as (select doc_id, {_crc32("coalesce(doc_id::varchar, '')")} % 7 = 2 held_out, list_concat(list_concat([' s'], {_WORDS.format(_LOWER)}), [' e']) w from documents),
+ p as (select doc_id, held_out, w[i + 1] t, {contexts} from (select *, unnest(range(1, len(w))) i from d)),
  c1 as (select t, count(*) c from p where not held_out group by t),
- ch as (select h, count(*) c from p where not held_out group by h),
- c2 as (select h, t, count(*) c from p where not held_out group by h, t),
- k as (select sum(c)::bigint n, count(*) v from c1),
- q as (select doc_id, held_out, coalesce(c1.c, 0) c, (coalesce(c1.c, 0) + 1)::double / (n + v + 1) p1, coalesce(ch.c, 0)::double s, coalesce(c2.c, 0)::double a, n
-  from p cross join k left join c1 on c1.t = p.t left join ch on ch.h = p.h left join c2 on c2.h = p.h and c2.t = p.t)
- select doc_id, held_out, count(*) n_tokens, count(*) filter (where c > 0) n_known, max(n) train_tokens, round(sum(log10(p1)), 6) base_score,
-  round(sum(log10(case when s > 0 then (a + 2.0 * pow(s, 0.9) * p1) / (s + 2.0 * pow(s, 0.9)) else p1 end)), 6) score from q group by doc_id, held_out"""
+ k as (select sum(c)::bigint n, count(*) v from c1){tables},
+ q as (select doc_id, held_out, coalesce(c1.c, 0) c0, (coalesce(c1.c, 0) + 1)::double / (n + v + 1) p0, n{steps}
+  from p cross join k left join c1 on c1.t = p.t{joins})
+ select doc_id, held_out, count(*) n_tokens, count(*) filter (where c0 > 0) n_known, max(n) train_tokens, round(sum(log10(p0)), 6) base_score,
+  round(sum(log10(p{order - 1})), 6) score from q group by doc_id, held_out"""
+
+
+OP9 = _op9(4)
 
 
 def oracle_sql() -> dict[str, str]:

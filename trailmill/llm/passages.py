@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_words, mixed, shingle_prints, word_prints
-from .lm import _bounds, pack, pack_sorted, unpack, unpack_sorted
+from .common import cut, mixed, release, shingle_prints, text_prints
+from .lm import bounds, pack, pack_sorted, unpack, unpack_sorted
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
         if len(linked):
             yield _blob(-1 - int(keys[linked[0]] >> np.uint64(40)), keys[linked], [*(x[linked] for x in rest), *(x[head[linked]] for x in rest[:2])])
         keys, rest = keys[~same], [x[~same] for x in rest]
-        edges = _bounds(keys, bits)
+        edges = bounds(keys, bits)
         for bucket in np.flatnonzero(np.diff(edges)):
             inside = slice(edges[bucket], edges[bucket + 1])
             yield _blob(int(bucket), keys[inside], [x[inside] for x in rest])
@@ -138,7 +138,7 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
         for batch in batches:
             for doc, text in zip(batch["id"].to_pylist(), batch["text"]):
                 data = text.as_py()
-                tokens = shingle_prints(word_prints(lower_words(data)), how.shingle)
+                tokens = shingle_prints(text_prints(data), how.shingle)
                 if len(tokens) >= how.run:
                     ids.append(doc)
                     texts.append(tokens)
@@ -313,7 +313,7 @@ def _verify(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                own = word_prints(lower_words(row["text"]))
+                own = text_prints(row["text"])
                 if at != (row["hub"], row["chunk"]):
                     at, hubs = (row["hub"], row["chunk"]), []
                 if row["role"] == 0:
