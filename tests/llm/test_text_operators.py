@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trailmill.llm import bpe, langid, lm, packing, quality, tokens
+from trailmill.llm import bpe, common, langid, lm, packing, quality, tokens
 from trailmill.llm.common import tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -275,5 +275,5 @@ def test_lm_tells_copies_from_the_rest(spark):
 @given(st.lists(st.integers(0, 2**64 - 1)))
 def test_packed_numbers(values):
     x = np.array(values, np.uint64)
-    assert (lm.unpack(lm.pack(x)) == x).all()
-    assert (lm.unpack_sorted(lm.pack_sorted(np.sort(x))) == np.sort(x)).all()
+    assert (common.unpack(common.pack(x)) == x).all()
+    assert (common.unpack_sorted(common.pack_sorted(np.sort(x))) == np.sort(x)).all()

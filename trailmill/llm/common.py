@@ -92,6 +92,18 @@ def sliced(texts: pa.Array, n: int = 1000) -> Iterator[pa.Array]:
         yield texts.slice(i, n)
 
 
+#: Parts that the rows of one key are dealt into where a join on the key could meet a hot one.
+SPREAD = 16
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row a key: the rows of a key are dealt out by ``by``, so that no
+    task holds all rows of a hot one; the row of the key is sent to each part."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    dealt = rows.withColumn("spread", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    return dealt.join(per_key.withColumn("spread", parts), [key, "spread"]).drop("spread")
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of a value written as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
@@ -158,6 +170,37 @@ def shingle_prints(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs, like bytes together."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def bounds(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where in sorted keys each bucket, named by the top bits, begins and ends."""
+    if not bits:
+        return np.array([0, len(keys)])
+    edges = np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
 def ragged(parts: Iterable[np.ndarray], dtype: type) -> tuple[np.ndarray, np.ndarray]:
     """The parts end to end, and the place where each starts."""
     parts = list(parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -17,13 +17,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest of itself and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    return both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return spread_join(both.where("v > u"), smallest, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
     smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    others = edges.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = spread_join(edges, smallest, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(smallest.select("u", F.col("m").alias("v")))
 
 
@@ -37,7 +37,7 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node that isn't its component's smallest, from a table of edges ``u, v``.
 
-    Each round is a fixed number of joins on a node, cut to the shared folder; the number of rounds grows with the
+    Each round is a fixed number of joins on a node, with the edges of one node dealt out, cut to the shared folder; the number of rounds grows with the
     logarithm of the components' sizes. Loops, repeated and reversed edges count once, edges with a null end not at
     all; no edges give no rows.
     """

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _M1, cut, mixed, ragged, release, text_prints
+from .common import _M1, bounds, cut, mixed, pack, pack_sorted, ragged, release, text_prints, unpack, unpack_sorted
 
 #: Marks before the first and after the last word; no word's fingerprint is made this way.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))
@@ -41,29 +41,6 @@ def context_class(count: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64)
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the largest needs, like bytes together."""
-    x = np.ascontiguousarray(x, "<u8")
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
-
-
 class Chunk:
     """The n-grams of some texts: which one ends at each position, for each order, and how often training has them."""
 
@@ -175,14 +152,6 @@ class Chunk:
         return tuple(np.add.reduceat(x, self.starts) if len(self.starts) else x for x in parts)
 
 
-def bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where in sorted keys each bucket, named by the top bits, begins and ends."""
-    if not bits:
-        return np.array([0, len(keys)])
-    edges = np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
 ASKED = "bucket bigint, chunk bigint, keys binary, counts binary, classes binary"
 #: Counts for a chunk, or (chunk -1) what a bucket adds to a class of contexts: tokens, and tokens seen once there.
 ANSWER = "level int, chunk bigint, bucket bigint, counts binary, class int, n bigint, once bigint"

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, ragged, release, shingle_prints, sliced, text_prints
+from .common import cut, mixed, pack_sorted, ragged, release, shingle_prints, sliced, spread_join, text_prints, unpack_sorted
 from .components import components
 
 
@@ -60,27 +60,50 @@ def minima(sets: list[np.ndarray], how: MinHash) -> np.ndarray:
 
 
 SKETCH = "struct<n:bigint,print:binary,bands:array<bigint>,sketch:binary>"
+_SKETCH_KINDS = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+
+
+def _sketched(texts: pa.Array, how: MinHash) -> pa.Array:
+    sets = [shingle_set(t.as_py(), how.shingle) for t in texts]
+    full = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+    low = mixed(minima([sets[i] for i in full], how))
+    keys = np.zeros((len(full), how.bands), np.uint64)
+    for r in range(how.rows):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, r :: how.rows])
+    keys = mixed(keys + np.arange(how.bands, dtype=np.uint64)).view(np.int64)
+    own = (low & np.uint64(0xFFFF)).astype("<u2")
+    prints, sketches = [None] * len(sets), [None] * len(sets)
+    for j, i in enumerate(full.tolist()):
+        prints[i], sketches[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), own[j].tobytes()
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.zeros(len(sets) + 1, np.int32)
+    np.cumsum(np.where(n > 0, how.bands, 0), out=ends[1:])
+    bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(prints, pa.binary()), bands, pa.array(sketches, pa.binary())], ["n", "print", "bands", "sketch"])
 
 
 def _sketches(how: MinHash) -> Callable:
     @F.arrow_udf(SKETCH)
     def sketches(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t.as_py(), how.shingle) for t in texts]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        low = mixed(minima([sets[i] for i in full], how))
-        keys = np.zeros((len(full), how.bands), np.uint64)
-        for r in range(how.rows):
-            keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, r :: how.rows])
-        keys = mixed(keys + np.arange(how.bands, dtype=np.uint64)).view(np.int64)
-        rows: list[dict] = [{"n": 0, "print": None, "bands": None, "sketch": None} for _ in sets]
-        for i, key, own in zip(full, keys, (low & np.uint64(0xFFFF)).astype("<u2")):
-            rows[i] = {"n": len(sets[i]), "print": xxhash.xxh3_128_digest(sets[i].tobytes()), "bands": key, "sketch": own.tobytes()}
-        kind = pa.struct([("n", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-        return pa.array(rows, kind)
+        out = [_sketched(part, how) for part in sliced(texts)]
+        release()
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct(list(zip(("n", "print", "bands", "sketch"), _SKETCH_KINDS))))
 
     return sketches
 
 
+def _sets(text: Column, how: MinHash) -> Column:
+    """The texts' sets, packed: shingled once for all comparisons that follow."""
+
+    @F.arrow_udf("binary")
+    def sets(texts: pa.Array) -> pa.Array:
+        out = pa.array((pack_sorted(shingle_set(t.as_py(), how.shingle)) for t in texts), pa.binary())
+        release()
+        return out
+
+    return sets(text)
+
+
 def _match(a: Column, b: Column) -> Column:
     """Share of equal minima of two sketches."""
 
@@ -93,20 +116,21 @@ def _match(a: Column, b: Column) -> Column:
 
 def _verify(how: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by hub and chunk, the hub's own text first: the pairs whose full sets are similar enough."""
+        """Rows sorted by hub and chunk, the hub's own set first: the pairs whose sets are similar enough."""
         at, hubs = None, []
         for batch in batches:
             us, vs = [], []
-            for row in batch.to_pylist():
-                own = shingle_set(row["text"], how.shingle)
-                if at != (row["hub"], row["chunk"]):
-                    at, hubs = (row["hub"], row["chunk"]), []
-                if row["role"] == 0:
-                    hubs.append(own)
-                elif any(similar(own, hub, how.percent) for hub in hubs):
-                    us.append(row["id"])
-                    vs.append(row["hub"])
+            for hub, chunk, role, own, packed in zip(*(batch[c].to_pylist() for c in ("hub", "chunk", "role", "id")), batch["set"]):
+                shingles = unpack_sorted(packed.as_py())
+                if at != (hub, chunk):
+                    at, hubs = (hub, chunk), []
+                if role == 0:  # more than one, where rows of several texts share an id
+                    hubs.append(shingles)
+                elif any(similar(shingles, held, how.percent) for held in hubs):
+                    us.append(own)
+                    vs.append(hub)
             yield pa.RecordBatch.from_pydict({"u": us, "v": vs}, pa.schema([("u", batch.schema.field("id").type), ("v", batch.schema.field("hub").type)]))
+        release()
 
     return verify
 
@@ -120,29 +144,50 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, pool: DataFrame, how: MinHash) -> DataFrame:
-    """Of the pairs ``id, hub``, those whose texts are similar, as ``u, v``. A hub with many partners is dealt out in
-    chunks with a copy of its text each; a task holds one hub's set at a time."""
+    """Of the pairs ``id, hub``, those whose sets are similar, as ``u, v``. A hub with many partners is dealt out in
+    chunks with a copy of its set each; a task holds one hub's set at a time."""
     times = pairs.groupBy("hub").agg(F.count("*").alias("times"))
-    members = pairs.join(times, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.floor(F.col("times") / 64) + 1).alias("chunk"), F.lit(1).alias("role"))
+    chunk = F.pmod(F.xxhash64("id"), F.floor(F.col("times") / 64) + 1).alias("chunk")
+    members = spread_join(pairs, times, "hub", "id").select("id", "hub", chunk, F.lit(1).alias("role"))
     hubs = members.select(F.col("hub").alias("id"), "hub", "chunk", F.lit(0).alias("role")).distinct()
     rows = members.unionByName(hubs).join(pool, "id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
     kind = dict(pairs.dtypes)["id"]
     return rows.mapInArrow(_verify(how), f"u {kind}, v {kind}")
 
 
-#: Classes on one side of a square; a task holds the sets of two sides.
+#: Classes on one side of a square; a task holds two sides.
 SQUARE = 512
 
 
+def _promising(how: MinHash) -> Callable[[pa.Table], pa.Table]:
+    def promising(rows: pa.Table) -> pa.Table:
+        """The classes of a square that some class of another component there may be similar to, by signature. A pair
+        that agrees in an earlier band is left to the bucket of that band."""
+        i, j, band = (rows[c][0].as_py() for c in ("i", "j", "band"))
+        known = rows["component"].to_numpy()
+        sides, sketch = rows["side"].to_numpy(), np.stack([np.frombuffer(x.as_py(), "<u2") for x in rows["sketch"]])
+        wanted, its = np.zeros(len(sides), bool), np.flatnonzero(sides == j)
+        for x in np.flatnonzero(sides == i):
+            others = its[(known[its] != known[x]) & ((its > x) | (i != j))]
+            equal = sketch[others] == sketch[x]
+            near = others[(equal.mean(axis=1) >= how.least_match) & ~equal.reshape(len(others), how.bands, how.rows)[:, :band].all(axis=2).any(axis=1)]
+            wanted[near] = True
+            wanted[x] |= len(near) > 0
+        release()
+        return rows.filter(pa.array(wanted)).select(["key", "i", "j", "side", "id", "component"])
+
+    return promising
+
+
 def _square(how: MinHash) -> Callable[[pa.Table], pa.Table]:
     def square(rows: pa.Table) -> pa.Table:
-        """All pairs across two sides of a group, counted on full sets: edges that span what is similar in it.
+        """All pairs across two sides of a bucket, counted on full sets: edges that span what is similar in it.
 
         Each set's intersections with all others come from one count over the postings of its shingles.
         """
         ids, sides, known = rows["id"].to_pylist(), rows["side"].to_numpy(), rows["component"].to_pylist()
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        sets = [shingle_set(t.as_py(), how.shingle) for t in rows["text"]]
+        sets = [unpack_sorted(x.as_py()) for x in rows["set"]]
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         values, _ = ragged(sets, np.uint64)
         owner = np.repeat(np.arange(len(sets)), n)
@@ -180,28 +225,24 @@ def _square(how: MinHash) -> Callable[[pa.Table], pa.Table]:
     return square
 
 
-def _residual(banded: DataFrame, buckets: DataFrame, pool: DataFrame, of: DataFrame, how: MinHash) -> DataFrame:
-    """Edges between components that stars left apart, from every pair that can share a bucket.
+def _residual(banded: DataFrame, buckets: DataFrame, sketches: DataFrame, pool: DataFrame, of: DataFrame, how: MinHash) -> DataFrame:
+    """Edges between components that stars left apart, from every pair that shares a bucket.
 
-    The buckets that hold several components join their classes to groups. A group's pairs are compared in squares of
-    512 by 512 classes, so a task holds two sides' sets and sends back only edges that span them.
+    The buckets that hold several components are compared in squares of 512 by 512 classes: first the signatures, then
+    the full sets of the classes that have a promising partner there. A task holds two sides and sends back only edges
+    that span them.
     """
-    rows = banded.join(buckets, "key").join(of, F.col("id") == of["node"], "left")
-    rows = cut(rows.select("key", "id", "hub", F.coalesce("component", "id").alias("component")))
-    if not rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").limit(1).count():
-        kind = dict(pool.dtypes)["id"]
-        return pool.sparkSession.createDataFrame([], f"u {kind}, v {kind}")
-    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows = cut(rows.join(mixed_keys, "key").groupBy("id", "hub", "component").agg(F.count("*").alias("shared")))
-    group = components(rows.select(F.col("id").alias("u"), F.col("hub").alias("v")))
-    members = rows.select("id", "component").distinct().join(group, F.col("id") == group["node"], "left")
-    members = members.select("id", rows["component"], F.coalesce(group["component"], "id").alias("group"))
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / SQUARE).alias("sides"))
-    members = members.join(sizes, "group").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")))
+    rows = banded.join(buckets.select("key"), "key").join(of, F.col("id") == of["node"], "left")
+    rows = cut(rows.select("key", "band", "id", F.coalesce("component", "id").alias("component")))
+    sizes = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count("*") / SQUARE).alias("sides"))
+    members = spread_join(rows, sizes.where("a <> b").select("key", "sides"), "key", "id")
+    members = members.withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     members = members.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "sides")
-    kind = dict(pool.dtypes)["id"]
-    return members.join(pool, "id").groupBy("group", "i", "j").applyInArrow(_square(how), f"u {kind}, v {kind}")
+    kind = dict(rows.dtypes)["id"]
+    near = members.join(sketches, "id").groupBy("key", "i", "j").applyInArrow(_promising(how), f"key bigint, i bigint, j bigint, side bigint, id {kind}, component {kind}")
+    near = cut(near)
+    return near.join(pool, "id").groupBy("key", "i", "j").applyInArrow(_square(how), f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,20 +253,20 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "do
     for. Classes that agree in a band are candidates. Each class is first held against one hub, by signature and then
     on full sets; buckets that still hold several components are compared whole, on full sets. Null and empty texts
     have no shingles and link with nothing; a row with a null id links with nothing, has a null component and is kept.
-    Rows that share an
-    id are one node. Other columns are left out; an empty table gives an empty result.
+    Rows that share an id are one node. Other columns are left out; an empty table gives an empty result.
     """
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
     made = texts.select("id", _sketches(how)(F.col("text")).alias("s"))
     sketched = cut(made.select("id", "s.n", "s.print", "s.bands", "s.sketch"))
     classes = sketched.where("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = cut(classes)
-    banded = reps.select("id", F.explode("bands").alias("key"))
+    banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = cut(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
     star = cut(banded.join(buckets, "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared")))
     involved = star.select("id").unionByName(star.select(F.col("hub").alias("id"))).distinct()
     # merged at every size: the ids have no bound that would allow sending them to all tasks
-    pool = cut(texts.join(involved.hint("merge"), "id", "left_semi"))
+    pool = texts.join(involved.hint("merge"), "id", "left_semi")
+    pool = cut(pool.select("id", _sets(F.col("text"), how).alias("set")).distinct())
 
     # Each class tries one hub: the least of those that share half the bands of a pair at the threshold, so that most
     # of a group meets in one, else the one that shares most. What is still apart is compared in squares.
@@ -234,7 +275,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "do
     own, its = reps.select("id", F.col("sketch").alias("own")), reps.select(F.col("id").alias("hub"), F.col("sketch").alias("its"))
     likely = best.join(own, "id").join(its, "hub").where(_match(F.col("own"), F.col("its")) >= how.least_match)
     links = cut(verified(likely.select("id", "hub"), pool, how))
-    more = cut(_residual(banded, buckets, pool, components(links), how))
+    more = cut(_residual(banded, buckets, reps.select("id", "sketch"), pool, components(links), how))
     of = components(links.unionByName(more))
 
     rep = reps.select("print", F.col("id").alias("rep")).join(of, F.col("rep") == of["node"], "left").select("print", F.coalesce("component", "rep").alias("component"))
@@ -245,12 +286,14 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "do
 
 
 def keep_one(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with the columns they had: of each component, the one of smallest id."""
-    out = near_duplicates(docs, how, doc_id, text)
-    gone = out.where("not kept").select(doc_id).distinct()
-    kept = docs.join(gone, doc_id, "left_anti").select(docs.columns)
-    repeated = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1")
-    if repeated.limit(1).count():  # rows that share an id are one node
-        named = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-        return named.unionByName(kept.where(F.col(doc_id).isNull()))
-    return kept
+    """The documents that stay, with the columns they had: of each component, the one of smallest id.
+
+    Where rows share that id, one row of each text stays: the least by a hash of all its columns. Rows with a null id
+    stay.
+    """
+    found = near_duplicates(docs, how, doc_id, text).groupBy(F.col(doc_id).alias("kept id")).agg(F.min("kept").alias("kept row"), F.count("*").alias("times"))
+    marked = docs.join(found.where("`kept id` is not null and (not `kept row` or times > 1)"), F.col(doc_id) == F.col("kept id"), "left")
+    single = marked.where("`kept id` is null").select(docs.columns)
+    alike = Window.partitionBy(doc_id, text).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    again = marked.where("`kept row` and times > 1").withColumn("times", F.row_number().over(alike)).where("times = 1").select(docs.columns)
+    return single.unionByName(again)

@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, release, shingle_prints, text_prints
-from .lm import bounds, pack, pack_sorted, unpack, unpack_sorted
+from .common import bounds, cut, mixed, pack, pack_sorted, release, shingle_prints, spread_join, text_prints, unpack, unpack_sorted
 
 
 @dataclass(frozen=True)
