@@ -114,8 +114,8 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-_IN_WORD = np.ones(256, bool)
-_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Each byte's value in a word: A-Z as a-z, white space 0.
+_LETTERS = np.array([0 if b in (0x20, *range(0x09, 0x0E)) else b + 1 for b in bytes(range(256)).lower()], np.uint64)
 _POWERS = [np.ones(1, np.uint64)]
 
 
@@ -133,18 +133,17 @@ def text_prints(text: bytes | None) -> np.ndarray:
     a worker's memory doesn't grow with the vocabulary."""
     if not text:
         return np.empty(0, np.uint64)
-    data = np.frombuffer(text.lower(), np.uint8)
-    inside = np.zeros(len(data) + 2, bool)
-    np.take(_IN_WORD, data, out=inside[1:-1])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    letters = _LETTERS[np.frombuffer(text, np.uint8)]
+    inside = letters != 0
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if inside[0]:
+        starts = np.concatenate([[0], starts])
     if not len(starts):
         return np.empty(0, np.uint64)
-    firsts = np.cumsum(sizes) - sizes
-    letters = data[inside[1:-1]].astype(np.uint64) + np.uint64(1)
-    place = np.arange(len(letters)) - np.repeat(firsts, sizes)
-    letters *= _powers(int(sizes.max()))[place]
-    return mixed(np.add.reduceat(letters, firsts) + sizes.astype(np.uint64) * _M2)
+    sizes = np.diff(starts, append=len(letters))  # with the white space after a word, which counts as 0
+    letters = letters[starts[0] :]
+    letters *= _powers(int(sizes.max()))[np.arange(len(letters), dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), sizes)]
+    return mixed(np.add.reduceat(letters, starts - starts[0]))
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -201,6 +200,12 @@ def bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of an array, in order of their first places, and which of them is at each place."""
+    encoded = pa.array(x).dictionary_encode()
+    return encoded.dictionary.to_numpy(zero_copy_only=False), encoded.indices.to_numpy(zero_copy_only=False)
+
+
 def ragged(parts: Iterable[np.ndarray], dtype: type) -> tuple[np.ndarray, np.ndarray]:
     """The parts end to end, and the place where each starts."""
     parts = list(parts)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _M1, bounds, cut, mixed, pack, pack_sorted, ragged, release, text_prints, unpack, unpack_sorted
+from .common import _M1, bounds, cut, mixed, numbered, pack, pack_sorted, ragged, release, text_prints, unpack, unpack_sorted
 
 #: Marks before the first and after the last word; no word's fingerprint is made this way.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))
@@ -50,25 +50,25 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         self.place = (np.arange(len(words)) - self.starts[self.doc]).astype(np.int32)
         self.train = train.astype(bool)[self.doc]
-        keys, own = np.unique(words, return_inverse=True)
+        keys, own = numbered(words)
         self.prints, self.entry = [keys], [own]
         #: Of each n-gram: its context, its last token, and itself without its first token.
         self.context, self.token, self.suffix = [None], [np.arange(len(keys))], [None]
         self.own = [np.bincount(own[self.train], minlength=len(keys))]
         self.counts: list[np.ndarray] = []
-        self.asked: list[np.ndarray] = [np.arange(len(keys))]
+        self.asked: list[np.ndarray] = [np.argsort(keys)]
 
     def longer(self) -> None:
         """The n-grams of the next order. Where training has the context, or the n-gram without its first token, in
         this chunk alone, this chunk's count of the n-gram is the whole count; the others are asked for."""
         k = len(self.entry)
         at = np.flatnonzero(self.place >= k)
-        code = self.entry[k - 1][at - 1] * len(self.prints[0]) + self.entry[0][at]
-        codes, own = np.unique(code, return_inverse=True)
+        code = self.entry[k - 1][at - 1].astype(np.int64) * len(self.prints[0]) + self.entry[0][at]
+        codes, own = numbered(code)
         context, token = codes // len(self.prints[0]), codes % len(self.prints[0])
-        suffix = np.empty(len(codes), np.int64)
+        suffix = np.empty(len(codes), np.int32)
         suffix[own] = self.entry[k - 1][at]
-        entry = np.full(len(self.place), -1, np.int64)
+        entry = np.full(len(self.place), -1, np.int32)
         entry[at] = own
         counts, local = self.counts[k - 1], self.own[k - 1]
         elsewhere = (counts[context] > local[context]) & (counts[suffix] > local[suffix])
@@ -217,7 +217,7 @@ def _answer(level: int) -> Callable[[pa.Table], pa.Table]:
     return answer
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, order: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, n_tokens, n_known, train_tokens, base_score and score.
 
     The model learns from the rows where ``train`` is true. Tokens are words, A-Z lower-cased, then one end; a null or

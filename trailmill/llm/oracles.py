@@ -50,7 +50,7 @@ def _op9(order: int) -> str:
   round(sum(log10(p{order - 1})), 6) score from q group by doc_id, held_out"""
 
 
-OP9 = _op9(4)
+OP9 = _op9(3)
 
 
 def oracle_sql() -> dict[str, str]:
