@@ -34,6 +34,11 @@ def slow_components(rows):
     return {i: root(i) for i in of}, sets
 
 
+def words(n, seed):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+
+
 def near_rows(seed=0, groups=6, members=9):
     """Groups of texts around a base with more and more words changed: similarities on both sides of the threshold."""
     rng = np.random.default_rng(seed)
@@ -165,6 +170,79 @@ def test_passages_with_words_inserted_and_left_out(spark, kind):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def covered(spans, doc, begin, words):
+    """Share of a text's words in [begin, begin + words) that its reported passages hold."""
+    inside = set()
+    for r in spans:
+        if r["doc_id"] == doc:
+            inside |= set(range(max(begin, r["start"]), min(begin + words, r["start"] + r["words"])))
+    return len(inside) / words
+
+
+def hidden_passages(trials, n, versions, change, seed):
+    """Per trial, earlier texts with versions of a passage that aren't like it, then two texts with the passage itself."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    out = []
+    for _ in range(trials):
+        passage = fresh(n)
+        texts = [change(rng, list(passage), fresh) for _ in range(versions)] + [passage, passage]
+        out += [(len(out) + i, " ".join(fresh(60) + t + fresh(60))) for i, t in enumerate(texts)]
+    return out
+
+
+def shares_42_words(rng, passage, fresh):
+    return passage[:42] + fresh(8) if rng.random() < 0.5 else fresh(8) + passage[8:]
+
+
+def has_five_others(rng, passage, fresh):
+    for at in rng.choice(len(passage), 5, replace=False):
+        passage[at] = fresh(1)[0]
+    return passage
+
+
+@pytest.mark.parametrize(("n", "versions", "change"), [(50, 1, shares_42_words), (60, 4, has_five_others), (60, 25, has_five_others)])
+def test_earlier_versions_hide_no_copies(spark, n, versions, change):
+    trials = 150 if versions == 1 else 20
+    rows = hidden_passages(trials, n, versions, change, seed=versions)
+    for how in (passages.Passages(), passages.Passages(chunk_bytes=3000)):
+        got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), how).collect()
+        last = [t * (versions + 2) + versions + 1 for t in range(trials)]
+        assert sum(round(covered(got, i, 60, n) * n) >= 50 for i in last) == trials  # an earlier version may be like most of it
+        plain = {i: t.split() for i, t in rows}
+        for r in got:
+            own, its = (" ".join(plain[r[d]][r[s] : r[s] + r[w]]) for d, s, w in (("doc_id", "start", "words"), ("other_id", "other_start", "other_words")))
+            assert 100 * len(shingles(own) & shingles(its)) >= 75 * len(shingles(own) | shingles(its))
+
+
+@pytest.mark.parametrize("least", [0.75, 0.8, 0.85, 0.9, 0.95])
+def test_recall_of_near_passages(spark, least):
+    """Passages of 50 to 150 words with words replaced down to a similarity: 95 % of them and more are found."""
+    rng = np.random.default_rng(int(100 * least))
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    out = []
+    for _ in range(120):
+        passage = fresh(int(rng.integers(50, 151)))
+        copy = list(passage)
+        for at in rng.permutation(len(copy)):
+            other = copy[:at] + fresh(1) + copy[at + 1 :]
+            a, b = shingles(" ".join(passage)), shingles(" ".join(other))
+            if len(a & b) < least * len(a | b):
+                break
+            copy = other
+        out += [(len(out), " ".join(fresh(70) + passage + fresh(70))), (len(out) + 1, " ".join(fresh(70) + copy + fresh(70)))]
+    got = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(spark.createDataFrame(out, "doc_id bigint, text string")).collect()}
+    want = {(i, i - 1) for i in range(1, len(out), 2)}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    passage, other = words(60, 71), words(100, 72)
+    rows = [(1, words(40, 73) + " " + passage), (2, words(30, 74) + " " + passage), (2, other), (None, passage), (3, None)]
+    left = Counter((r[0], r[1]) for r in passages.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert left == Counter([rows[0], (2, words(30, 74)), rows[2], rows[3], rows[4]])
+
+
 @pytest.mark.parametrize("stray", [0, 8, 20, 40])
 def test_passages_beside_a_repeated_phrase(stray):
     """An edited passage of which a 5-word run occurs once more in the other text, before or after it."""

@@ -5,6 +5,10 @@ all runs of tokens whose least hash lies at the same place c: the runs that begi
 compact window stands for all these runs at once, and only windows that hold a run of the least length are kept. Two
 passages that share a least hash lie in two windows with the same value. Windows meet by value; where enough hash
 functions link two texts, all their passages are found and verified on the words themselves.
+
+First every window is held against the first text of its value. What no verified passage covers then is held against all
+earlier windows of its value, by the tokens around them, and the text that agrees best there is verified too; so an
+earlier text that is only somewhat like a passage hides no copy of it.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounds, cut, mixed, pack, pack_sorted, release, shingle_prints, spread_join, text_prints, unpack, unpack_sorted
@@ -91,7 +95,9 @@ def compact_windows(tokens: np.ndarray, starts: np.ndarray, run: int, a: np.uint
 
 FIELDS = ("doc", "c", "sides")
 BLOBS = "bucket bigint, keys binary, " + ", ".join(f"{f} binary" for f in FIELDS)
-PAIR = "doc bigint, hub bigint, hashes int"
+#: Links by hash functions or, with ``doc`` null, packed windows whose value several texts share.
+PAIR = "doc bigint, hub bigint, hashes int, keys binary, docs binary, places binary"
+_PAIR_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -157,19 +163,26 @@ def _blob(bucket: int, keys: np.ndarray, rest: list[np.ndarray]) -> pa.RecordBat
     return pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [pack_sorted(keys)]} | {f: [pack(x)] for f, x in zip(FIELDS, fields)})
 
 
-def _pairs(doc: np.ndarray, hub: np.ndarray, keys: np.ndarray) -> pa.Table:
-    """Each pair of texts once, with a bit for each hash function whose windows link them."""
+def _pairs(doc: np.ndarray, hub: np.ndarray, keys: np.ndarray, shared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+    """Each pair of texts once, with a bit for each hash function whose windows link them; then the windows (key, text,
+    place) whose value several texts share."""
     order = np.lexsort((hub, doc))
     doc, hub, bit = doc[order], hub[order], np.int32(1) << (keys[order] & np.uint64(7)).astype(np.int32)
     new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (hub[1:] != hub[:-1]))[: len(doc)])
     hashes = np.bitwise_or.reduceat(bit, new) if len(new) else bit
-    return pa.table({"doc": doc[new].view(np.int64), "hub": hub[new].view(np.int64), "hashes": pa.array(hashes, pa.int32())})
+    columns = [doc[new].view(np.int64).tolist(), hub[new].view(np.int64).tolist(), hashes.tolist(), *([None] * len(new) for _ in range(3))]
+    if len(shared[0]):
+        order = np.argsort(shared[0], kind="stable")
+        for column, x in zip(columns, (None, None, None, pack_sorted(shared[0][order]), pack(shared[1][order]), pack(shared[2][order]))):
+            column.append(x)
+    return pa.table([pa.array(x, k) for x, k in zip(columns, _PAIR_KINDS)], [x.split()[0] for x in PAIR.split(", ")])
 
 
 def _linked(blobs: pa.Table) -> pa.Table:
-    docs = [np.split(unpack(x.as_py()), 2) for x in blobs["doc"]]
-    own, its = (np.concatenate(x) for x in zip(*docs))
-    return _pairs(own, its, np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]]))
+    docs, places = ([np.split(unpack(x.as_py()), 2) for x in blobs[f]] for f in ("doc", "c"))
+    (own, its), (c, its_c) = ([np.concatenate(x) for x in zip(*parts)] for parts in (docs, places))
+    keys = np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]])
+    return _pairs(own, its, keys, (np.append(keys, keys), np.append(own, its), np.append(c, its_c)))
 
 
 def _stars(blobs: pa.Table) -> pa.Table:
@@ -179,7 +192,7 @@ def _stars(blobs: pa.Table) -> pa.Table:
         return _linked(blobs)
     keys = np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]])
     doc, c, sides = (np.concatenate([unpack(x.as_py()) for x in blobs[f]]) for f in FIELDS)
-    members, heads = [], []
+    members, heads, shared = [], [], []
     for group in (np.zeros_like(sides), sides >> np.uint64(16), sides & np.uint64(0xFFFF)):
         order = np.lexsort((c, doc.view(np.int64), group, keys))
         k, g = keys[order], group[order]
@@ -189,9 +202,109 @@ def _stars(blobs: pa.Table) -> pa.Table:
         other = doc[order] != doc[head]
         members.append(order[other])
         heads.append(head[other])
+        if not shared and len(k):  # whole values: all windows of those that some other text has
+            value = np.cumsum(first) - 1
+            shared = [order[np.isin(value, value[other])]]
     links = np.unique(np.stack([np.concatenate(members), np.concatenate(heads)]), axis=1) if len(keys) else np.empty((2, 0), np.int64)
     m, h = links
-    return _pairs(doc[m], doc[h], keys[m])
+    which = shared[0] if shared else np.empty(0, np.int64)
+    out = _pairs(doc[m], doc[h], keys[m], (keys[which], doc[which], c[which]))
+    release()
+    return out
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, docs, places in zip(*(batch[c] for c in ("keys", "docs", "places"))):
+            keys = unpack_sorted(keys.as_py()).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": keys, "doc": unpack(docs.as_py()).view(np.int64), "place": unpack(places.as_py()).view(np.int64)})
+
+
+AROUND = "key bigint, doc bigint, place bigint, open boolean, around binary"
+
+
+def _around(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """16 bits of each token that a run of the least length over a window's place can hold, for each window of a text."""
+    reach = how.run - 1
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for doc, text, windows in zip(batch["doc"].to_pylist(), batch["text"], batch["windows"]):
+                tokens = mixed(shingle_prints(text_prints(text.as_py()), how.shingle))
+                padded = np.zeros(len(tokens) + 2 * reach, "<u2")
+                padded[reach : reach + len(tokens)] = tokens & np.uint64(0xFFFF)
+                for w in windows.as_py():
+                    if w["place"] < len(tokens):  # else a window of another text with this id
+                        for column, x in zip(out, (w["key"], doc, w["place"], w["open"], padded[w["place"] : w["place"] + 2 * reach + 1].tobytes())):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], [x.split()[0] for x in AROUND.split(", ")])
+        release()
+
+    return around
+
+
+#: Windows on one side of a square of one value.
+SQUARE = 1024
+BEST = "key bigint, doc bigint, place bigint, hub bigint, shared int"
+
+
+def _best(how: Passages) -> Callable[[pa.Table], pa.Table]:
+    """For each open window of a square the earlier text that shares most of some run of the least length around it."""
+    reach, least = how.run - 1, -(-how.percent * how.run // 100)
+
+    def best(rows: pa.Table) -> pa.Table:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        doc, place, side, todo = (rows[c].to_numpy() for c in ("doc", "place", "side", "open"))
+        tokens = np.stack([np.frombuffer(x.as_py(), "<u2") for x in rows["around"]])
+        order = np.argsort(tokens.ravel(), kind="stable")
+        posted, values = order // tokens.shape[1], tokens.ravel()[order]
+        out: list[tuple] = []
+        for x in np.flatnonzero(todo & ((side == i) | (side == j))):
+            own = np.unique(tokens[x])
+            own = own[own > 0]
+            lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+            size = hi - lo
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            common = np.bincount(posted[at], minlength=len(doc))
+            near = np.flatnonzero((common >= least) & (doc < doc[x]) & (side == (j if side[x] == i else i)))
+            if len(near):
+                inside = np.stack([np.isin(tokens[x], tokens[y]) & (tokens[x] > 0) for y in near])
+                total = np.cumsum(np.concatenate([np.zeros((len(near), 1), np.int64), inside], axis=1), axis=1)
+                shared = (total[:, how.run :] - total[:, : -how.run]).max(axis=1)
+                top = np.lexsort((doc[near], -shared))[0]
+                if shared[top] >= least:
+                    out.append((rows["key"][0].as_py(), int(doc[x]), int(place[x]), int(doc[near[top]]), int(shared[top])))
+        columns = zip(*out) if out else [[]] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.int32()])], [x.split()[0] for x in BEST.split(", ")])
+
+    return best
+
+
+def _hidden_pairs(links: DataFrame, spans: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
+    """Pairs of texts ``doc, hub`` to verify beside the stars: of each open window, the earlier text that agrees best.
+
+    A window is open if several texts share its value, no verified passage of its text covers it, and enough hash
+    functions have such windows in one run around it.
+    """
+    windows = links.where("doc is null").select("keys", "docs", "places").mapInArrow(_unpacked, "key bigint, doc bigint, place bigint").distinct()
+    found = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + how.shingle <= s["start"] + s["words"]))
+    windows = windows.join(found, "doc", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans")
+    near = Window.partitionBy("doc").orderBy("place").rangeBetween(1 - how.run, how.run - 1)
+    bit = F.when(F.col("open"), F.expr("shiftleft(1, cast(key & 7 as int))")).otherwise(0)
+    windows = cut(windows.withColumn("open", F.col("open") & (F.bit_count(F.bit_or(bit).over(near)) >= how.enough)))
+    values = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last"), F.ceil(F.count("*") / SQUARE).cast("int").alias("sides"))
+    values = values.where("last > least").select("key", "sides")
+    windows = spread_join(windows, values.select("key"), "key", "doc")
+    of_text = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "place", "open")).alias("windows"))
+    around = of_text.join(texts.withColumnRenamed("id", "doc"), "doc").select("doc", "text", "windows").mapInArrow(_around(how), AROUND)
+    members = spread_join(around, values, "key", "doc").withColumn("side", F.pmod(F.xxhash64("doc", "place"), F.col("sides")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    members = members.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "sides")
+    best = members.groupBy("key", "i", "j").applyInArrow(_best(how), BEST)
+    best = best.groupBy("key", "doc", "place").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
+    return best.select("doc", "hub").distinct()
 
 
 SPAN = "start bigint, words bigint, other_start bigint, other_words bigint, similarity double"
@@ -303,51 +416,65 @@ def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages) -> list[tu
 
 
 def _verify(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ("doc", "hub", "start", "words", "other_start", "other_words", "similarity")
-    kinds = [pa.int64()] * 6 + [pa.float64()]
+    names = ("doc", "print", "hub", "start", "words", "other_start", "other_words", "similarity")
+    kinds = [pa.int64()] * 7 + [pa.float64()]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by hub and chunk, the hub's own text first."""
         at, hubs = None, []
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
-                own = text_prints(row["text"])
-                if at != (row["hub"], row["chunk"]):
-                    at, hubs = (row["hub"], row["chunk"]), []
-                if row["role"] == 0:
+            for hub, chunk, role, doc, own_print, text in zip(*(batch[c].to_pylist() for c in ("hub", "chunk", "role", "id", "print")), batch["text"]):
+                own = text_prints(text.as_py())
+                if at != (hub, chunk):
+                    at, hubs = (hub, chunk), []
+                if role == 0:
                     hubs.append(own)
                     continue
-                for hub in hubs:
-                    rows += [(row["id"], row["hub"], *span) for span in spans_between(own, hub, how)]
+                for held in hubs:
+                    rows += [(doc, own_print, hub, *span) for span in spans_between(own, held, how)]
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names))
+        release()
 
     return verify
 
 
-def repeated_passages(docs: DataFrame, how: Passages = Passages(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per passage that a document shares with an earlier one (by id): ``doc_id``, ``start`` and ``words`` (in
-    words of the text, from 0), ``other_id``, ``other_start``, ``other_words``, ``similarity``.
+def _verified(pairs: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
+    """The passages of the pairs ``doc, hub``. A hub with many partners is dealt out in chunks with a copy of its text
+    each."""
+    times = pairs.groupBy("hub").agg(F.count("*").alias("times"))
+    chunk = F.pmod(F.xxhash64("id"), F.floor(F.col("times") / 64) + 1).alias("chunk")
+    members = spread_join(pairs.withColumnRenamed("doc", "id"), times, "hub", "id").select("id", "hub", chunk, F.lit(1).alias("role"))
+    hubs = members.select(F.col("hub").alias("id"), "hub", "chunk", F.lit(0).alias("role")).distinct()
+    rows = members.unionByName(hubs).join(texts, "id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
+    return rows.mapInArrow(_verify(how), f"doc bigint, print bigint, hub bigint, {SPAN}")
 
-    Words are lower-cased (A-Z). Ids are integers. Each document with a passage of at least 50 words that occurs in
-    others is linked to one with a smaller id that has it; the first one is only ever ``other_id``. Null, empty and
-    short texts and null ids take no part; repeats inside one text, or between rows that share an id, aren't
-    reported; other columns are left out; an empty table gives an empty result.
-    """
+
+def _found(docs: DataFrame, how: Passages, doc_id: str, text: str) -> DataFrame:
+    """``doc, print, hub`` and a span: every verified passage, with a fingerprint of the text that has it."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text")).where("id is not null and text is not null")
+    texts = texts.withColumn("print", F.xxhash64("text"))
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(0, (n_bytes // 6 * 2 * how.hashes // how.run // 1_000_000).bit_length())
-    links = texts.mapInArrow(_windows(how, bits), BLOBS).groupBy("bucket").applyInArrow(_stars, PAIR)
-    pairs = links.groupBy("doc", "hub").agg(F.bit_or("hashes").alias("hashes"))
+    links = cut(texts.mapInArrow(_windows(how, bits), BLOBS).groupBy("bucket").applyInArrow(_stars, PAIR))
+    pairs = links.where("doc is not null").groupBy("doc", "hub").agg(F.bit_or("hashes").alias("hashes"))
     pairs = cut(pairs.where(F.bit_count("hashes") >= how.enough).select("doc", "hub"))
+    spans = cut(_verified(pairs, texts, how))
+    more = cut(_hidden_pairs(links, spans, texts, how).join(pairs, ["doc", "hub"], "left_anti"))
+    return spans.unionByName(_verified(more, texts, how))
 
-    times = pairs.groupBy("hub").agg(F.count("*").alias("times"))
-    chunk = F.pmod(F.xxhash64("id"), F.floor(F.col("times") / 64) + 1).alias("chunk")
-    members = pairs.withColumnRenamed("doc", "id").join(times, "hub").select("id", "hub", chunk, F.lit(1).alias("role"))
-    hubs = members.select(F.col("hub").alias("id"), "hub", "chunk", F.lit(0).alias("role")).distinct()
-    rows = members.unionByName(hubs).join(texts, "id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
-    spans = rows.mapInArrow(_verify(how), f"doc bigint, hub bigint, {SPAN}")
+
+def repeated_passages(docs: DataFrame, how: Passages = Passages(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per passage that a document shares with an earlier one (by id): ``doc_id``, ``start`` and ``words`` (in
+    words of the text, from 0), ``other_id``, ``other_start``, ``other_words``, ``similarity``.
+
+    Words are lower-cased (A-Z). Ids are cast to bigint. A passage of at least 50 words that an earlier document has,
+    or one like it, is reported with one such document at least; the first one is only ever ``other_id``. Null, empty
+    and short texts and null ids take no part; repeats inside one text, or between rows that share an id, aren't
+    reported; other columns are left out; an empty table gives an empty result.
+    """
+    spans = _found(docs, how, doc_id, text).drop("print").distinct()
     return spans.select(F.col("doc").alias(doc_id), "start", "words", F.col("hub").alias("other_id"), "other_start", "other_words", "similarity")
 
 
@@ -372,16 +499,18 @@ def _cut_out(text: str | None, spans: list | None) -> str | None:
 def without_repeats(docs: DataFrame, how: Passages = Passages(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every passage cut out that an earlier document has; a document of which no word is left goes.
 
-    Documents without such a passage, and rows with a null id or text, stay as they are.
+    Spans go to the rows that have both the id and the text that they were found in, so rows that share an id lose only
+    what is theirs. Documents without such a passage, and rows with a null id or text, stay as they are.
     """
-    spans = repeated_passages(docs, how, doc_id, text).groupBy(doc_id).agg(F.collect_list(F.struct("start", "words")).alias("spans"))
-    spans = spans.select(F.col(doc_id).alias("passage doc"), F.col("spans").alias("passage spans"))
+    spans = _found(docs, how, doc_id, text).groupBy(F.col("doc").alias("passage doc"), F.col("print").alias("passage print"))
+    spans = spans.agg(F.collect_set(F.struct("start", "words")).alias("passage spans"))
 
     @F.arrow_udf("string")
     def edited(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        return pa.array([_cut_out(t, s) for t, s in zip(texts.to_pylist(), gone.to_pylist())], pa.string())
+        return pa.array((_cut_out(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(texts, gone)), pa.string())
 
-    joined = docs.join(spans, docs[doc_id] == F.col("passage doc"), "left")
+    here = (docs[doc_id].cast("bigint") == F.col("passage doc")) & (F.xxhash64(F.col(text).cast("binary")) == F.col("passage print"))
+    joined = docs.join(spans, here, "left")
     joined = joined.withColumn(text, edited(F.col(text), F.col("passage spans")))
     left = F.col("passage spans").isNull() | F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]"))
     return joined.where(left).select(docs.columns)
