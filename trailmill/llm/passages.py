@@ -6,9 +6,10 @@ compact window stands for all these runs at once, and only windows that hold a r
 passages that share a least hash lie in two windows with the same value. Windows meet by value; where enough hash
 functions link two texts, all their passages are found and verified on the words themselves.
 
-First every window is held against the first text of its value. What no verified passage covers then is held against all
-earlier windows of its value, by the tokens around them, and the text that agrees best there is verified too; so an
-earlier text that is only somewhat like a passage hides no copy of it.
+First every window is held against the first text that has its value and the least token on one of its sides, in windows
+of enough hash functions. What no verified passage covers then is held against all earlier windows that agree in value and side, by the
+tokens around them, and the text that agrees best there is verified too; so an earlier text that is only somewhat like a
+passage hides no copy of it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounds, cut, mixed, pack, pack_sorted, release, shingle_prints, spread_join, text_prints, unpack, unpack_sorted
@@ -28,8 +29,9 @@ from .common import bounds, cut, mixed, pack, pack_sorted, release, shingle_prin
 class Passages:
     """Passages of at least ``words`` words; two are alike if their shingle sets overlap by ``percent``.
 
-    Passages at the threshold share fewer than ``enough`` of the ``hashes`` least hashes with probability 0.5 %; equal
-    ones share all.
+    Equal passages agree in the value and one side of each of the ``hashes`` functions' windows. Passages at the
+    threshold do so for one function with probability 0.63, so for fewer than ``enough`` of 6 in 3 % of cases; of these,
+    and of what an earlier text hides, those are found again that agree under one of the first ``again``: all but 2 %.
     """
 
     words: int = 50
@@ -37,6 +39,7 @@ class Passages:
     percent: int = 75
     hashes: int = 6
     enough: int = 2
+    again: int = 4
     seed: int = 9
     chunk_bytes: int = 8_000_000
 
@@ -79,23 +82,28 @@ def compact_windows(tokens: np.ndarray, starts: np.ndarray, run: int, a: np.uint
     chosen[places.astype(np.int64)] = True
     c = np.flatnonzero(chosen)
     doc = np.searchsorted(starts, c, side="right") - 1
-    left, right = starts[doc].tolist(), (ends[doc] - 1).tolist()
-    stack: list[int] = []
-    at, values, docs = c.tolist(), value[c].tolist(), doc.tolist()
-    for i, own in enumerate(values):
-        if stack and docs[stack[-1]] != docs[i]:
-            stack.clear()
-        while stack and values[stack[-1]] > own:
-            right[stack.pop()] = at[i] - 1
-        if stack:
-            left[i] = at[stack[-1]] + 1
-        stack.append(i)
-    return c, np.array(left, np.int64), np.array(right, np.int64)
+    left, right = _lesser(value[c], doc), len(c) - 1 - _lesser(value[c][::-1], doc[::-1])[::-1]
+    first = np.where(left < 0, starts[doc], c[np.maximum(left, 0)] + 1)
+    last = np.where(right >= len(c), ends[doc] - 1, c[np.minimum(right, len(c) - 1)] - 1)
+    return c, first, last
+
+
+def _lesser(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each value the place of the nearest lesser one before it in its text, its ancestor in the Cartesian tree; -1
+    if there is none. All climb at once: whatever a place before has passed is greater than what passes that place."""
+    at = np.arange(len(values)) - 1
+    at[np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[: len(at)]] = -1
+    todo = np.flatnonzero(at >= 0)
+    while len(todo):
+        todo = todo[values[at[todo]] > values[todo]]
+        at[todo] = at[at[todo]]
+        todo = todo[at[todo] >= 0]
+    return at
 
 
 FIELDS = ("doc", "c", "sides")
 BLOBS = "bucket bigint, keys binary, " + ", ".join(f"{f} binary" for f in FIELDS)
-#: Links by hash functions or, with ``doc`` null, packed windows whose value several texts share.
+#: Links by hash functions or, with ``doc`` null, packed windows whose value and side several texts share.
 PAIR = "doc bigint, hub bigint, hashes int, keys binary, docs binary, places binary"
 _PAIR_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -114,13 +122,13 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
         spread = mixed(tokens)
         lows = [(sliding_minimum(spread, n) & np.uint64(0xFFFF), first, n) for first, n in ((1 - half, half - 1), (1, half))]
         for j in range(how.hashes):
-            c, _, _ = compact_windows(tokens, starts, how.run, a[j], b[j])
+            c, left, right = compact_windows(tokens, starts, how.run, a[j], b[j])
             doc = np.searchsorted(starts, c, side="right") - 1
             key = mixed(tokens[c] * a[j] + b[j]) >> np.uint64(3) << np.uint64(3) | np.uint64(j)
-            # any run of the least length around c holds the half run before or after it; the least token of a half
-            # stays the same where words are inserted or left out: 16 bits of each
-            begin, end = starts[doc], starts[doc] + sizes[doc]
-            sides = [low[np.clip(c + first, begin, end - n)] for low, first, n in lows]
+            # any run of the least length around c in its window holds the half run before or after it there; the least
+            # token of a half stays the same where words are inserted or left out: 16 bits of each
+            begin = starts[doc]
+            sides = [low[np.clip(c + first, left, right + 1 - n)] for low, first, n in lows]
             parts.append((key, of[doc].view(np.uint64), (c - begin).view(np.uint64), sides[0] << np.uint64(16) | sides[1]))
         keys, *rest = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((rest[1], rest[0].view(np.int64), rest[-1], keys))
@@ -163,52 +171,63 @@ def _blob(bucket: int, keys: np.ndarray, rest: list[np.ndarray]) -> pa.RecordBat
     return pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [pack_sorted(keys)]} | {f: [pack(x)] for f, x in zip(FIELDS, fields)})
 
 
-def _pairs(doc: np.ndarray, hub: np.ndarray, keys: np.ndarray, shared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+def _pairs(doc: np.ndarray, hub: np.ndarray, keys: np.ndarray, shared: tuple[np.ndarray, np.ndarray, np.ndarray], again: int) -> pa.Table:
     """Each pair of texts once, with a bit for each hash function whose windows link them; then the windows (key, text,
-    place) whose value several texts share."""
+    place) whose value and side several texts share."""
     order = np.lexsort((hub, doc))
     doc, hub, bit = doc[order], hub[order], np.int32(1) << (keys[order] & np.uint64(7)).astype(np.int32)
     new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (hub[1:] != hub[:-1]))[: len(doc)])
     hashes = np.bitwise_or.reduceat(bit, new) if len(new) else bit
     columns = [doc[new].view(np.int64).tolist(), hub[new].view(np.int64).tolist(), hashes.tolist(), *([None] * len(new) for _ in range(3))]
+    shared = tuple(x[shared[0] & np.uint64(7) < again] for x in shared)
     if len(shared[0]):
-        order = np.argsort(shared[0], kind="stable")
+        order = np.lexsort((shared[2], shared[1], shared[0]))
+        same = np.append(False, np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in shared]))
+        order = order[~same]
         for column, x in zip(columns, (None, None, None, pack_sorted(shared[0][order]), pack(shared[1][order]), pack(shared[2][order]))):
             column.append(x)
     return pa.table([pa.array(x, k) for x, k in zip(columns, _PAIR_KINDS)], [x.split()[0] for x in PAIR.split(", ")])
 
 
-def _linked(blobs: pa.Table) -> pa.Table:
+def _sided(keys: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
+    """Of each window, its value with the least token of the side before it, and of the side behind; the last three bits
+    still name the hash function."""
+    halves = sides >> np.uint64(16), (sides & np.uint64(0xFFFF)) | np.uint64(1 << 16)
+    return [mixed(keys ^ mixed(x + np.uint64(1))) >> np.uint64(3) << np.uint64(3) | keys & np.uint64(7) for x in halves]
+
+
+def _linked(blobs: pa.Table, again: int) -> pa.Table:
     docs, places = ([np.split(unpack(x.as_py()), 2) for x in blobs[f]] for f in ("doc", "c"))
     (own, its), (c, its_c) = ([np.concatenate(x) for x in zip(*parts)] for parts in (docs, places))
     keys = np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]])
-    return _pairs(own, its, keys, (np.append(keys, keys), np.append(own, its), np.append(c, its_c)))
+    sided = _sided(keys, np.concatenate([unpack(x.as_py()) for x in blobs["sides"]]))
+    return _pairs(own, its, keys, tuple(np.concatenate(x) for x in (sided * 2, (own, own, its, its), (c, c, its_c, its_c))), again)
 
 
-def _stars(blobs: pa.Table) -> pa.Table:
-    """One bucket: every window is linked to the first text's that has its value, and to the first that has the same
-    least token on either side too."""
+def _stars(blobs: pa.Table, again: int) -> pa.Table:
+    """One bucket: every window is linked to the first text's that has its value and the same least token on one side,
+    for either side."""
     if blobs["bucket"][0].as_py() < 0:
-        return _linked(blobs)
+        return _linked(blobs, again)
     keys = np.concatenate([unpack_sorted(x.as_py()) for x in blobs["keys"]])
     doc, c, sides = (np.concatenate([unpack(x.as_py()) for x in blobs[f]]) for f in FIELDS)
     members, heads, shared = [], [], []
-    for group in (np.zeros_like(sides), sides >> np.uint64(16), sides & np.uint64(0xFFFF)):
-        order = np.lexsort((c, doc.view(np.int64), group, keys))
-        k, g = keys[order], group[order]
+    for group in _sided(keys, sides):
+        order = np.lexsort((c, doc.view(np.int64), group))
+        k = group[order]
         first = np.ones(len(k), bool)
-        first[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+        first[1:] = k[1:] != k[:-1]
         head = order[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
         other = doc[order] != doc[head]
         members.append(order[other])
         heads.append(head[other])
-        if not shared and len(k):  # whole values: all windows of those that some other text has
-            value = np.cumsum(first) - 1
-            shared = [order[np.isin(value, value[other])]]
+        several = np.zeros(len(k), bool)
+        several[(np.cumsum(first) - 1)[other]] = True
+        which = order[several[np.cumsum(first) - 1]]
+        shared.append((group[which], doc[which], c[which]))
     links = np.unique(np.stack([np.concatenate(members), np.concatenate(heads)]), axis=1) if len(keys) else np.empty((2, 0), np.int64)
     m, h = links
-    which = shared[0] if shared else np.empty(0, np.int64)
-    out = _pairs(doc[m], doc[h], keys[m], (keys[which], doc[which], c[which]))
+    out = _pairs(doc[m], doc[h], keys[m], tuple(np.concatenate(x) for x in zip(*shared)), again)
     release()
     return out
 
@@ -245,64 +264,113 @@ def _around(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 #: Windows on one side of a square of one value.
-SQUARE = 1024
+SQUARE = 8192
 BEST = "key bigint, doc bigint, place bigint, hub bigint, shared int"
 
 
-def _best(how: Passages) -> Callable[[pa.Table], pa.Table]:
-    """For each open window of a square the earlier text that shares most of some run of the least length around it."""
-    reach, least = how.run - 1, -(-how.percent * how.run // 100)
-
-    def best(rows: pa.Table) -> pa.Table:
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        doc, place, side, todo = (rows[c].to_numpy() for c in ("doc", "place", "side", "open"))
-        tokens = np.stack([np.frombuffer(x.as_py(), "<u2") for x in rows["around"]])
-        order = np.argsort(tokens.ravel(), kind="stable")
-        posted, values = order // tokens.shape[1], tokens.ravel()[order]
-        out: list[tuple] = []
-        for x in np.flatnonzero(todo & ((side == i) | (side == j))):
-            own = np.unique(tokens[x])
-            own = own[own > 0]
-            lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
-            size = hi - lo
-            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-            common = np.bincount(posted[at], minlength=len(doc))
-            near = np.flatnonzero((common >= least) & (doc < doc[x]) & (side == (j if side[x] == i else i)))
-            if len(near):
-                inside = np.stack([np.isin(tokens[x], tokens[y]) & (tokens[x] > 0) for y in near])
-                total = np.cumsum(np.concatenate([np.zeros((len(near), 1), np.int64), inside], axis=1), axis=1)
-                shared = (total[:, how.run :] - total[:, : -how.run]).max(axis=1)
-                top = np.lexsort((doc[near], -shared))[0]
-                if shared[top] >= least:
-                    out.append((rows["key"][0].as_py(), int(doc[x]), int(place[x]), int(doc[near[top]]), int(shared[top])))
-        columns = zip(*out) if out else [[]] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.int32()])], [x.split()[0] for x in BEST.split(", ")])
+def _agreeing(doc: np.ndarray, side: np.ndarray, todo: np.ndarray, tokens: np.ndarray, i: int, j: int, how: Passages) -> Iterator[tuple[int, int, int]]:
+    """For each window in ``todo`` the one of an earlier text, across the square, that shares most tokens of some run of
+    the least length around it; with how many. ``tokens``: those around each window, 0 where the text ends.
+
+    Who shares ``least`` tokens with a window shares one at least that isn't among its ``least - 1`` most frequent in
+    the square: only these, mostly no one's, lead to others.
+    """
+    least = -(-how.percent * how.run // 100)
+    ordered = np.sort(tokens, axis=1)
+    counted = ordered > 0
+    counted[:, 1:] &= ordered[:, 1:] != ordered[:, :-1]
+    times = np.bincount(ordered[counted], minlength=1 << 16)
+    frequent = np.where(counted, times[ordered], 0)
+    todo = np.flatnonzero(todo & (np.partition(frequent, -least, axis=1)[:, -least] > 1))
+    if not len(todo):
+        return
+    row, column = np.nonzero(counted & (frequent > 1))
+    by_value = np.argsort(ordered[row, column], kind="stable")
+    posted, values = row[by_value], ordered[row, column][by_value]
+    width = tokens.shape[1]
+    at = np.full(1 << 16, width)  # where a token stands around x; beyond the end if it doesn't
+    for x in todo.tolist():
+        own, n = ordered[x], frequent[x]
+        rare = own[np.argsort(n)[: len(n) - least + 1]]
+        rare = rare[(times[rare] > 1) & (rare > 0)]
+        lo, hi = np.searchsorted(values, rare), np.searchsorted(values, rare, side="right")
+        others = np.unique(np.concatenate([posted[a:b] for a, b in zip(lo, hi)])) if len(rare) else posted[:0]
+        others = others[(doc[others] < doc[x]) & (side[others] == (j if side[x] == i else i))]
+        if len(others):
+            at[tokens[x][::-1]] = np.arange(width)[::-1]
+            at[0] = width
+            places = at[tokens[others]]
+            at[own] = width
+            both = np.zeros((2, len(others), width + 1), np.int32)
+            both[0, np.arange(len(others))[:, None], places] = 1  # tokens of x, then tokens of the other
+            both[1, :, :width] = places < width
+            both[:, :, width] = 0
+            total = np.cumsum(both, axis=2)
+            total = np.concatenate([np.zeros((2, len(others), 1), np.int32), total[:, :, :width]], axis=2)
+            shared = (total[:, :, how.run :] - total[:, :, : -how.run]).max(axis=(0, 2))
+            top = np.lexsort((doc[others], -shared))[0]
+            if shared[top] >= least:
+                yield x, int(others[top]), int(shared[top])
+
+
+def _best(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    width = 2 * how.run - 1
+    names = ("key", "i", "j", "doc", "place", "side", "open")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and square; for each open window the earlier text that agrees best, if one does enough."""
+        held: list[np.ndarray] | None = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                new = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+                new.append(np.frombuffer(b"".join(batch["around"].to_pylist()), "<u2").reshape(-1, width))
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if held is None or not len(held[0]):
+                continue
+            changes = np.zeros(len(held[0]), bool)
+            for x in held[:3]:
+                changes[1:] |= x[1:] != x[:-1]
+            edges = np.flatnonzero(changes)
+            edges = np.concatenate([[0], edges, [len(changes)]] if batch is None else [[0], edges])
+            out: list[tuple] = []
+            for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+                key, i, j = (int(x[lo]) for x in held[:3])
+                doc, place, side, todo, tokens = (x[lo:hi] for x in held[3:])
+                if hi - lo > 1 and (todo & (doc > doc.min())).any():
+                    out += [(key, int(doc[x]), int(place[x]), int(doc[y]), n) for x, y, n in _agreeing(doc, side, todo, tokens, i, j, how)]
+            held = [x[edges[-1] :] for x in held]
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.int32()])], [x.split()[0] for x in BEST.split(", ")])
+        release()
 
     return best
 
 
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _hidden_pairs(links: DataFrame, spans: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
     """Pairs of texts ``doc, hub`` to verify beside the stars: of each open window, the earlier text that agrees best.
 
-    A window is open if several texts share its value, no verified passage of its text covers it, and enough hash
-    functions have such windows in one run around it.
+    A window is open if several texts share its value and the least token of one side, and no verified passage of its
+    text covers it.
     """
-    windows = links.where("doc is null").select("keys", "docs", "places").mapInArrow(_unpacked, "key bigint, doc bigint, place bigint").distinct()
+    windows = links.where("doc is null").select("keys", "docs", "places").mapInArrow(_unpacked, "key bigint, doc bigint, place bigint")
     found = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + how.shingle <= s["start"] + s["words"]))
-    windows = windows.join(found, "doc", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans")
-    near = Window.partitionBy("doc").orderBy("place").rangeBetween(1 - how.run, how.run - 1)
-    bit = F.when(F.col("open"), F.expr("shiftleft(1, cast(key & 7 as int))")).otherwise(0)
-    windows = cut(windows.withColumn("open", F.col("open") & (F.bit_count(F.bit_or(bit).over(near)) >= how.enough)))
+    windows = cut(windows.join(found, "doc", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans"))
     values = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last"), F.ceil(F.count("*") / SQUARE).cast("int").alias("sides"))
     values = values.where("last > least").select("key", "sides")
     windows = spread_join(windows, values.select("key"), "key", "doc")
-    of_text = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "place", "open")).alias("windows"))
+    of_text = windows.groupBy("doc").agg(F.collect_set(F.struct("key", "place", "open")).alias("windows"))
     around = of_text.join(texts.withColumnRenamed("id", "doc"), "doc").select("doc", "text", "windows").mapInArrow(_around(how), AROUND)
     members = spread_join(around, values, "key", "doc").withColumn("side", F.pmod(F.xxhash64("doc", "place"), F.col("sides")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     members = members.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "sides")
-    best = members.groupBy("key", "i", "j").applyInArrow(_best(how), BEST)
+    members = members.select("key", "i", "j", "doc", "place", "side", "open", "around").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    best = members.mapInArrow(_best(how), BEST)
     best = best.groupBy("key", "doc", "place").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
     return best.select("doc", "hub").distinct()
 
@@ -344,12 +412,34 @@ def _runs(tokens: np.ndarray, n: int) -> np.ndarray:
     return mixed(out[: len(out) - (n - size)] * np.uint64(5) + out[n - size :]) if n > size else out
 
 
-def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages) -> list[tuple[int, int, int, int, float]]:
+class Words:
+    """A text's words by fingerprint, its shingles, and these in order."""
+
+    def __init__(self, words: np.ndarray, how: Passages) -> None:
+        self.words, self.shingles = words, shingle_prints(words, how.shingle)
+        self.ordered = np.sort(self.shingles)
+
+    def has(self, shingles: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ordered, shingles)
+        return self.ordered[np.minimum(at, len(self.ordered) - 1)] == shingles if len(self.ordered) else np.zeros(len(shingles), bool)
+
+
+def _longest(x: np.ndarray) -> int:
+    """Length of the longest run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], x, [False]])))
+    return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
+def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages, its: Words | None = None) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of ``mine`` (word fingerprints) that ``other`` has too: start, words, start and words there,
-    similarity."""
+    similarity. ``its``: the other text prepared, if there are many texts to hold against it."""
     if len(mine) == len(other) and (mine == other).all():
         return [(0, len(mine), 0, len(other), 1.0)]
-    a, b = shingle_prints(mine, how.shingle), shingle_prints(other, how.shingle)
+    its = its or Words(other, how)
+    a, b = shingle_prints(mine, how.shingle), its.shingles
+    known_there = its.has(a)
+    if 100 * known_there.sum() < how.percent * how.run:
+        return []
     found: list[tuple[int, int, int, int, float]] = []
     covered = np.zeros(len(a), bool)
 
@@ -366,7 +456,7 @@ def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages) -> list[tu
         s, e, hs, he = parts.pop()
         if e - s < how.run or he - hs < how.run or covered[s:e].all():
             continue
-        both = np.isin(a[s:e], b[hs:he])
+        both = known_there[s:e] if (hs, he) == (0, len(b)) else np.isin(a[s:e], b[hs:he])
         dense = _dense(both, how)
         if dense != [(0, e - s)]:
             parts += [(s + x, s + y, hs, he) for x, y in reversed(dense)]
@@ -379,12 +469,12 @@ def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages) -> list[tu
         if verified(s, e, hs, he):
             continue
         # the wider gap of the two sides parts the stretch; where nothing long enough is left, the best runs are tried
-        at, its = np.flatnonzero(both), np.flatnonzero(back)
-        gap, its_gap = int(np.diff(at).argmax()), int(np.diff(its).argmax())
-        width, its_width = at[gap + 1] - at[gap], its[its_gap + 1] - its[its_gap]
+        at, there = np.flatnonzero(both), np.flatnonzero(back)
+        gap, its_gap = int(np.diff(at).argmax()), int(np.diff(there).argmax())
+        width, its_width = at[gap + 1] - at[gap], there[its_gap + 1] - there[its_gap]
         if max(width, its_width) > 1:
             if its_width > width:
-                pieces = [(s, e, hs, hs + int(its[its_gap]) + 1), (s, e, hs + int(its[its_gap + 1]), he)]
+                pieces = [(s, e, hs, hs + int(there[its_gap]) + 1), (s, e, hs + int(there[its_gap + 1]), he)]
             else:
                 pieces = [(s, s + int(at[gap]) + 1, hs, he), (s + int(at[gap + 1]), e, hs, he)]
             pieces = [p for p in pieces if p[1] - p[0] >= how.run and p[3] - p[2] >= how.run]
@@ -395,7 +485,7 @@ def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages) -> list[tu
         y = hs + _densest(np.isin(b[hs:he], a[x : x + how.run]), how.run)
         verified(x, x + how.run, y, y + how.run)
     # equal runs in what is left
-    if covered.all() or min(len(a), len(b)) < how.run:
+    if min(len(a), len(b)) < how.run or _longest(known_there) < how.run or covered[known_there].all():
         return found
     runs, its_runs = _runs(a, how.run), _runs(b, how.run)
     known, first = np.unique(its_runs, return_index=True)
@@ -429,10 +519,10 @@ def _verify(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 if at != (hub, chunk):
                     at, hubs = (hub, chunk), []
                 if role == 0:
-                    hubs.append(own)
+                    hubs.append(Words(own, how))
                     continue
                 for held in hubs:
-                    rows += [(doc, own_print, hub, *span) for span in spans_between(own, held, how)]
+                    rows += [(doc, own_print, hub, *span) for span in spans_between(own, held.words, how, held)]
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names))
         release()
@@ -457,7 +547,7 @@ def _found(docs: DataFrame, how: Passages, doc_id: str, text: str) -> DataFrame:
     texts = texts.withColumn("print", F.xxhash64("text"))
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(0, (n_bytes // 6 * 2 * how.hashes // how.run // 1_000_000).bit_length())
-    links = cut(texts.mapInArrow(_windows(how, bits), BLOBS).groupBy("bucket").applyInArrow(_stars, PAIR))
+    links = cut(texts.mapInArrow(_windows(how, bits), BLOBS).groupBy("bucket").applyInArrow(lambda blobs: _stars(blobs, how.again), PAIR))
     pairs = links.where("doc is not null").groupBy("doc", "hub").agg(F.bit_or("hashes").alias("hashes"))
     pairs = cut(pairs.where(F.bit_count("hashes") >= how.enough).select("doc", "hub"))
     spans = cut(_verified(pairs, texts, how))
