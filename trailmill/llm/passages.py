@@ -120,16 +120,16 @@ def _windows(how: Passages, bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
         parts = []
         half = how.run // 2
         spread = mixed(tokens)
-        lows = [(sliding_minimum(spread, n) & np.uint64(0xFFFF), first, n) for first, n in ((1 - half, half - 1), (1, half))]
+        lows = [(sliding_minimum(spread, n) & np.uint64(0xFFFFFF), first, n) for first, n in ((1 - half, half - 1), (1, half))]
         for j in range(how.hashes):
             c, left, right = compact_windows(tokens, starts, how.run, a[j], b[j])
             doc = np.searchsorted(starts, c, side="right") - 1
             key = mixed(tokens[c] * a[j] + b[j]) >> np.uint64(3) << np.uint64(3) | np.uint64(j)
             # any run of the least length around c in its window holds the half run before or after it there; the least
-            # token of a half stays the same where words are inserted or left out: 16 bits of each
+            # token of a half stays the same where words are inserted or left out: 24 bits of each
             begin = starts[doc]
             sides = [low[np.clip(c + first, left, right + 1 - n)] for low, first, n in lows]
-            parts.append((key, of[doc].view(np.uint64), (c - begin).view(np.uint64), sides[0] << np.uint64(16) | sides[1]))
+            parts.append((key, of[doc].view(np.uint64), (c - begin).view(np.uint64), sides[0] << np.uint64(24) | sides[1]))
         keys, *rest = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((rest[1], rest[0].view(np.int64), rest[-1], keys))
         keys, rest = keys[order], [x[order] for x in rest]
@@ -192,7 +192,7 @@ def _pairs(doc: np.ndarray, hub: np.ndarray, keys: np.ndarray, shared: tuple[np.
 def _sided(keys: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
     """Of each window, its value with the least token of the side before it, and of the side behind; the last three bits
     still name the hash function."""
-    halves = sides >> np.uint64(16), (sides & np.uint64(0xFFFF)) | np.uint64(1 << 16)
+    halves = sides >> np.uint64(24), (sides & np.uint64(0xFFFFFF)) | np.uint64(1 << 24)
     return [mixed(keys ^ mixed(x + np.uint64(1))) >> np.uint64(3) << np.uint64(3) | keys & np.uint64(7) for x in halves]
 
 
@@ -386,15 +386,17 @@ def _alike(a: np.ndarray, b: np.ndarray) -> float:
 def _dense(shared: np.ndarray, how: Passages) -> list[tuple[int, int]]:
     """Stretches [s, e) made of runs of the least length in which enough places are shared, from the first shared place
     to the last."""
-    total = np.append(0, np.cumsum(shared))
-    full = np.flatnonzero(100 * (total[how.run :] - total[: -how.run]) >= how.percent * how.run)
+    total = np.zeros(len(shared) + 1, np.int32)
+    np.cumsum(shared, out=total[1:])
+    full = np.flatnonzero(total[how.run :] - total[: -how.run] >= -(-how.percent * how.run // 100))
     if not len(full):
         return []
-    breaks = np.flatnonzero(np.diff(full) > how.run)
+    breaks = np.flatnonzero(full[1:] - full[:-1] > how.run).tolist()
     out = []
-    for x, y in zip(full[np.append(0, breaks + 1)], full[np.append(breaks, len(full) - 1)] + how.run):
-        at = np.flatnonzero(shared[x:y])
-        out.append((int(x + at[0]), int(x + at[-1]) + 1))
+    for i, j in zip([-1, *breaks], [*breaks, len(full) - 1]):
+        x, y = int(full[i + 1]), int(full[j]) + how.run
+        inside = shared[x:y]
+        out.append((x + int(inside.argmax()), y - int(inside[::-1].argmax())))
     return out
 
 
@@ -413,11 +415,19 @@ def _runs(tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 class Words:
-    """A text's words by fingerprint, its shingles, and these in order."""
+    """A text's words by fingerprint, its shingles, and these in order with their places."""
 
     def __init__(self, words: np.ndarray, how: Passages) -> None:
         self.words, self.shingles = words, shingle_prints(words, how.shingle)
-        self.ordered = np.sort(self.shingles)
+        self.order = np.argsort(self.shingles)
+        self.ordered = self.shingles[self.order]
+
+    def places(self, shingles: np.ndarray) -> np.ndarray:
+        """Where any of the shingles stand, in order."""
+        wanted = np.unique(shingles)
+        lo, hi = (np.searchsorted(self.ordered, wanted, side) for side in ("left", "right"))
+        size = hi - lo
+        return np.sort(self.order[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())])
 
     def has(self, shingles: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.ordered, shingles)
@@ -440,6 +450,18 @@ def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages, its: Words
     known_there = its.has(a)
     if 100 * known_there.sum() < how.percent * how.run:
         return []
+    # shared shingles by number, all others by one number that is never marked
+    numbers = np.unique(a[known_there])
+    numbered = lambda x: np.where(numbers[at := np.minimum(np.searchsorted(numbers, x), len(numbers) - 1)] == x, at, len(numbers))
+    own_numbers, its_numbers, marks = numbered(a), numbered(b), np.zeros(len(numbers) + 1, bool)
+
+    def within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of x are in y."""
+        marks[y] = True
+        marks[-1] = False
+        out = marks[x]
+        marks[y] = False
+        return out
     found: list[tuple[int, int, int, int, float]] = []
     covered = np.zeros(len(a), bool)
 
@@ -456,12 +478,20 @@ def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages, its: Words
         s, e, hs, he = parts.pop()
         if e - s < how.run or he - hs < how.run or covered[s:e].all():
             continue
-        both = known_there[s:e] if (hs, he) == (0, len(b)) else np.isin(a[s:e], b[hs:he])
+        if he - hs > 4 * (e - s):  # a long text: only the places near what is shared count
+            at = its.places(a[s:e])
+            at = at[(at >= hs) & (at < he)]
+            ends = np.flatnonzero(np.diff(at) > how.run)
+            near = [(int(at[x]), int(at[y]) + 1) for x, y in zip(np.append(0, ends + 1), np.append(ends, len(at) - 1))] if len(at) else []
+            if near != [(hs, he)]:
+                parts += [(s, e, x, y) for x, y in reversed(near)]
+                continue
+        both = within(own_numbers[s:e], its_numbers[hs:he])
         dense = _dense(both, how)
         if dense != [(0, e - s)]:
             parts += [(s + x, s + y, hs, he) for x, y in reversed(dense)]
             continue
-        back = np.isin(b[hs:he], a[s:e])
+        back = within(its_numbers[hs:he], own_numbers[s:e])
         dense = _dense(back, how)
         if dense != [(0, he - hs)]:
             parts += [(s, e, hs + x, hs + y) for x, y in reversed(dense)]
@@ -482,7 +512,7 @@ def spans_between(mine: np.ndarray, other: np.ndarray, how: Passages, its: Words
             if pieces:
                 continue
         x = s + _densest(both, how.run)
-        y = hs + _densest(np.isin(b[hs:he], a[x : x + how.run]), how.run)
+        y = hs + _densest(within(its_numbers[hs:he], own_numbers[x : x + how.run]), how.run)
         verified(x, x + how.run, y, y + how.run)
     # equal runs in what is left
     if min(len(a), len(b)) < how.run or _longest(known_there) < how.run or covered[known_there].all():
