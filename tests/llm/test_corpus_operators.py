@@ -329,6 +329,38 @@ def test_communication_matrix():
     assert np.allclose(mean, np.outer(rows, shards) / 25, atol=0.25)
 
 
+def test_hypergeometric_law():
+    """The draw beyond numpy's limit against the exact law, and its moments at sizes that numpy refuses."""
+    from math import comb, exp, sqrt
+
+    for good, bad, n in ((10, 15, 7), (30, 5, 12), (100, 300, 50)):
+        for k in range(max(0, n - bad), min(n, good) + 1):
+            logs = [sharding._log_binomial(a, b, n / (good + bad)) for a, b in ((k, good), (n - k, bad), (n, good + bad))]
+            assert abs(exp(logs[0] + logs[1] - logs[2]) - comb(good, k) * comb(bad, n - k) / comb(good + bad, n)) < 1e-12
+    rng = np.random.default_rng(1)
+    good, bad, n = 6 * 10**9, 4 * 10**9, 9 * 10**9
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)], float)
+    mean, variance = n * 0.6, n * 0.6 * 0.4 * 0.1
+    assert abs(drawn.mean() - mean) < 4 * sqrt(variance / 4000) and abs(drawn.var() / variance - 1) < 0.1
+    matrix = sharding.communication_matrix([5 * 10**9, 0, 7 * 10**9], [6 * 10**9, 6 * 10**9], 3)
+    assert matrix.sum(axis=0).tolist() == [6 * 10**9] * 2 and matrix.sum(axis=1).tolist() == [5 * 10**9, 0, 7 * 10**9]
+
+
+def test_shuffle_is_uniform(spark):
+    """Each row is in each shard, and at each place of it, equally often over many seeds."""
+    table = spark.range(24).repartition(3, "id")
+    shard, slot = np.zeros((24, 4)), np.zeros((24, 6))
+    for seed in range(60):
+        for r in sharding.shuffle_to_shards(table, 4, seed).collect():
+            shard[r["id"], r["shard"]] += 1
+            slot[r["id"], r["slot"]] += 1
+    for counts in (shard, slot):
+        expected = counts.sum(axis=1, keepdims=True) / counts.shape[1]
+        chi = ((counts - expected) ** 2 / expected).sum()
+        freedom = 24 * (counts.shape[1] - 1)
+        assert chi < freedom + 5 * np.sqrt(2 * freedom)
+
+
 def test_hilbert_steps():
     import itertools
 
@@ -344,7 +376,7 @@ def test_neighbours(spark):
     centres = rng.standard_normal((20, 16)) * 3
     x = (centres[rng.integers(0, 20, 600)] + rng.standard_normal((600, 16))).astype(np.float32)
     rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)]
-    rows += [(1000, None, ""), (1020, [0.0] * 16, ""), (1040, [1.0, None] * 8, ""), (1060, [float("nan")] * 16, ""), (1080, [1.0] * 3, ""), (None, x[0].tolist(), ""), (40, x[40].tolist(), "")]
+    rows += [(1000, None, ""), (1020, [0.0] * 16, ""), (1040, [1.0, None] * 8, ""), (1060, [float("nan")] * 16, ""), (1080, [1.0] * 3, ""), (1081, [2.0] * 3, ""), (None, x[0].tolist(), ""), (40, x[40].tolist(), "")]
     rows += [(2000 + i, x[20].tolist(), "") for i in range(60)]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id string")
     got = {}
@@ -352,6 +384,7 @@ def test_neighbours(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ids = np.array([*range(600), *range(2000, 2060)])
     vectors = np.concatenate([x, np.repeat(x[20:21], 60, axis=0)]).astype(np.float64)
+    assert got.pop(1080) == [(1, 1081, 6.0)]  # another length is searched on its own
     assert set(got) == {int(i) for i in ids if i % 20 == 0}
     hits = 0
     for q, found in got.items():
@@ -394,5 +427,35 @@ def test_pipeline(spark, sf_dir, docs):
         for s in range(len(words) - 49):
             assert seen.setdefault(tuple(words[s : s + 50]), i) == i
     packed = pipeline.run(spark, sf_dir)
-    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids", "row"]
     assert {r["doc_id"] for r in packed.collect()} <= set(left)
+
+
+def test_pipeline_on_awkward_tables(spark, docs, rows, empty, tmp_path):
+    """Nulls, ties, repeated rows and ids, clashing names; and no rows at all."""
+    import corpus_pipeline as pipeline
+
+    for k, (table, plain) in enumerate(((docs, rows), (empty, []))):
+        path = str(tmp_path / str(k))
+        table.write.parquet(f"{path}/documents.parquet")
+        before, sizes = table, [len(plain)]
+        for _, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, before, path)
+            assert out.columns == table.columns
+            written = f"{path}/{len(sizes)}"
+            out.write.parquet(written)
+            before = spark.read.parquet(written)
+            sizes.append(before.count())
+        assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3]
+        mixed = Counter(r["doc_id"] for r in before.collect())
+        packed = pipeline.run(spark, path).collect()
+        assert Counter({i: len({r["row"] for r in packed if r["doc_id"] == i}) for i in mixed}) == mixed
+        used = {}
+        for r in packed:
+            used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+            assert len(r["ids"]) == 4 * r["length"]
+        for pieces in used.values():
+            pieces.sort()
+            assert all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and pieces[0][0] == 0 and sum(n for _, n in pieces) <= 4096
+    kept = {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/0/2").collect()}
+    assert not kept & {0, 1, 2, 3, 12} and {(r[0], r[1]) for r in rows if r[0] in kept} >= {(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/0/2").collect()}

@@ -114,6 +114,7 @@ def merge_best(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.n
 
 
 FOUND = "query_id bigint, ids array<bigint>, scores array<double>"
+RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -127,7 +128,7 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
         n = len(ids)
         return pa.table({"query_id": rows["query_id"].slice(0, 1).to_pylist() * n, "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": ids, "score": scores})
 
-    return found.groupBy("query_id").applyInArrow(merge, "query_id bigint, rank int, vec_id bigint, score double")
+    return found.groupBy("query_id").applyInArrow(merge, RESULT)
 
 
 def exact_neighbours(vectors: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
@@ -143,28 +144,34 @@ def exact_neighbours(vectors: DataFrame, qids: np.ndarray, queries: np.ndarray,
 
 
 def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """``id, vector`` of the rows that take part: an id, and finite components of which one isn't zero, as many as
-    most rows have."""
-    kept = table.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    """``id, vector`` of the rows that take part: an id, and finite components of which one isn't zero."""
+    kept = table.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    kept = kept.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(F.exists("vector", bad), F.lit(True)) & F.exists("vector", lambda x: x != 0))
-    sizes = kept.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return kept.where(F.size("vector") == (sizes["size"] if sizes else 0))
+    return kept.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(F.exists("vector", bad), F.lit(True)) & F.exists("vector", lambda x: x != 0))
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 20, how: Curves = Curves(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row where ``is_query`` holds, the ``k`` nearest found by inner
     product (double precision on the vectors as given), nearest first, ties to the smaller id.
 
-    All rows are indexed and candidates, but the query's own id. Rows with a null id, a null or zero vector, one with a
-    null or non-finite component or of another length than most take no part; rows that share an id count as one
-    candidate, by the better score. Other columns are left out; an empty table gives an empty result.
+    All rows are indexed and candidates, but the query's own id. Rows with a null id, a null or zero vector or one with
+    a null or non-finite component take no part. Vectors of different lengths have no inner product: each length is
+    searched on its own. Rows that share an id count as one candidate, by the better score, and as one query, by the
+    least of their vectors. Other columns are left out; an empty table gives an empty result.
     """
+    asked = table.where(is_query).select(F.col(vec_id).cast("bigint").alias("id")).distinct()
     rows = cut(usable(table, vec_id, vector))
-    spark, n = table.sparkSession, rows.count()
-    if not n:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    queries = rows.join(table.where(is_query).select(F.col(vec_id).cast("bigint").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    queries = rows.join(asked, "id", "left_semi").groupBy("id").agg(F.min("vector").alias("vector"))
+    out = table.sparkSession.createDataFrame([], RESULT)
+    for size in sorted(r["size"] for r in rows.groupBy(F.size("vector").alias("size")).count().collect()):
+        here = F.size("vector") == size
+        out = out.unionByName(_nearest(rows.where(here), queries.where(here), k, how))
+    return out
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, how: Curves) -> DataFrame:
+    """The search among vectors of one length."""
+    spark, n = rows.sparkSession, rows.count()
     share = how.fit_rows / n
     drawn = F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     sample = _matrix(rows.where(drawn).select("vector").limit(2 * how.fit_rows).toArrow()["vector"])
@@ -193,7 +200,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, how: Curves = Curve
     # windows as wide as the probes need: for their true neighbours, the least distance along any curve
     probes = queries.orderBy(F.xxhash64("id")).limit(how.probe_queries).toArrow()
     if not probes.num_rows:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return spark.createDataFrame([], RESULT)
     truth = cut(exact_neighbours(rows, probes["id"].to_numpy(), _matrix(probes["vector"]), k))
     wanted = truth.select(F.col("query_id").alias("id")).unionByName(truth.select(F.col("vec_id").alias("id"))).distinct()
     spots = cut(placed.join(wanted, "id", "left_semi").groupBy("id", "curve").agg(F.min("place").alias("place")))
@@ -205,7 +212,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, how: Curves = Curve
     last = (n - 1) // how.block
     n_queries = queries.count()
     salts = max(1, math.ceil(n_queries * min(1, (2 * reach + how.block) / n) / how.query_block))
-    asked = placed.join(queries.select("id"), "id", "left_semi").groupBy("id", "curve").agg(F.first("vector").alias("vector"), F.min("place").alias("place"))
+    asked = placed.join(queries.select("id", F.col("vector").alias("asked")), "id").where(F.col("vector") == F.col("asked"))
+    asked = asked.groupBy("id", "curve").agg(F.min("asked").alias("vector"), F.min("place").alias("place"))
     block = lambda place: F.floor(place / how.block).cast("int")
     asked = asked.withColumn("block", F.explode(F.sequence(block(F.greatest(F.col("place") - reach, F.lit(0))), F.least(block(F.col("place") + reach), F.lit(last)))))
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).select("curve", "block", "salt", "id", "vector")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -57,22 +58,28 @@ class ByteBpe:
         return Tokenizer.from_str(self.spec)
 
     def merge(self, pieces: list[str]) -> list[str]:
-        """Apply the merge of lowest rank, everywhere from the left, until none applies."""
-        ranks, never = self.ranks, len(self.ranks)
-        while len(pieces) > 1:
-            best = min(zip(pieces, pieces[1:]), key=lambda pair: ranks.get(pair, never))
-            if best not in ranks:
-                break
-            out, i = [], 0
-            while i < len(pieces):
-                if i + 1 < len(pieces) and (pieces[i], pieces[i + 1]) == best:
-                    out.append(pieces[i] + pieces[i + 1])
-                    i += 2
-                else:
-                    out.append(pieces[i])
-                    i += 1
-            pieces = out
-        return pieces
+        """Apply the merge of lowest rank, the leftmost first, until none applies.
+
+        The pieces are a linked list, and the pairs that can merge wait in a heap; a pair that has changed meanwhile is
+        passed over. So the work grows with the length times its logarithm.
+        """
+        ranks, n = self.ranks, len(pieces)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        held: list[str | None] = list(pieces)
+        heap = [(ranks[pair], i, *pair) for i, pair in enumerate(zip(pieces, pieces[1:])) if pair in ranks]
+        heapify(heap)
+        while heap:
+            _, i, left, right = heappop(heap)
+            j = after[i]
+            if held[i] != left or j >= n or held[j] != right:
+                continue
+            held[i], held[j], after[i] = left + right, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (rank := ranks.get((held[x], held[y]))) is not None:
+                    heappush(heap, (rank, x, held[x], held[y]))
+        return [p for p in held if p is not None]
 
     def spelled(self, pre_token: str) -> list[str]:
         return [self.chars[b] for b in pre_token.encode()]

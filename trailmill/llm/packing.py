@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import WordIds
-from .common import cut, tokenizer_path
+from .common import cut, release, tokenizer_path
 
 #: A filling of sequences: how many, and the (length, times) in each.
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
 
 def lower_bound(counts: np.ndarray) -> int:
-    """Least number of sequences that any packing needs: the best of the bounds that set large pieces apart."""
+    """Least number of sequences that any packing needs: the best of the bounds that set large pieces apart, and of
+    those that count pieces of which no more than m fit in one sequence."""
     capacity = len(counts) - 1
     lengths = np.arange(capacity + 1)
     below, volume = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
@@ -34,7 +36,9 @@ def lower_bound(counts: np.ndarray) -> int:
     large_volume = volume[capacity - k + 1] - volume[half + 1]
     small_volume = volume[half + 1] - volume[k]
     over = small_volume - (large * capacity - large_volume)
-    return int((huge + large + np.maximum(0, -(-over // capacity))).max())
+    m = np.arange(1, capacity + 1)
+    longer = below[-1] - below[capacity // (m + 1) + 1]
+    return int(max((huge + large + np.maximum(0, -(-over // capacity))).max(), (-(-longer // m)).max()))
 
 
 class Stock:
@@ -63,48 +67,42 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 def completions(stock: Stock, space: int, keep: int, nodes: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``space``, least waste first, longer pieces first among equals.
 
-    Depth first from long pieces to short. A branch ends where all it could add can't beat the worst filling kept;
-    a filling without waste ends the search for more once ``keep`` of them are found. ``nodes`` bounds the search.
+    Depth first from long pieces to short; a node is a length and how often it is taken, the most first. A branch ends
+    where even all pieces of the lengths it has left would waste as much as the worst filling kept; a filling without
+    waste ends the search once ``keep`` of them are found. ``nodes`` bounds the search.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     chosen: list[int] = []
     budget = nodes
-    used: dict[int, int] = {}
+    volumes = [0, *accumulate(n * stock.left[n] for n in stock.lengths)]
 
-    def search(space: int, longest: int) -> bool:
-        """False: the search is over."""
+    def search(space: int, at: int) -> bool:
+        """Fillings from ``stock.lengths[: at + 1]``. False: the search is over."""
         nonlocal budget
-        at = bisect_right(stock.lengths, min(space, longest)) - 1
-        full = True
-        while at >= 0:
-            length = stock.lengths[at]
-            at -= 1
-            if used.get(length, 0) >= stock.left[length]:
-                continue
-            full = False
-            budget -= 1
-            if budget < 0:
-                return False
-            chosen.append(length)
-            used[length] = used.get(length, 0) + 1
-            more = search(space - length, length)
-            chosen.pop()
-            used[length] -= 1
-            if not more:
-                return False
-            if len(found) >= keep and space - length >= found[-1][0] and length <= found[-1][0]:
-                break
-        if full:  # nothing more fits: a filling
+        at = min(at, bisect_right(stock.lengths, space) - 1)
+        if at < 0:  # nothing more fits
             filling = tuple(chosen)
             if not any(dominates(other, filling) for _, other in found):
                 found[:] = [x for x in found if not dominates(filling, x[1])]
                 insort(found, (space, filling), key=lambda x: (x[0], [-i for i in x[1]]))
                 del found[keep:]
-            if len(found) >= keep and not found[-1][0]:
-                return False
+            return len(found) < keep or found[-1][0] > 0
+        for i in range(at, -1, -1):
+            if len(found) >= keep and space - volumes[i + 1] >= found[-1][0]:
+                break
+            length = stock.lengths[i]
+            for times in range(min(stock.left[length], space // length), 0, -1):
+                budget -= 1
+                if budget < 0:
+                    return False
+                chosen.extend([length] * times)
+                more = search(space - times * length, i - 1)
+                del chosen[-times:]
+                if not more:
+                    return False
         return True
 
-    search(space, space)
+    search(space, len(stock.lengths) - 1)
     return [filling for _, filling in found]
 
 
@@ -125,59 +123,70 @@ def best_fit(stock: Stock, space: int) -> tuple[int, ...]:
         space -= times * length
 
 
-def solve(counts: np.ndarray, keep: int = 4, nodes: int = 400, tries: int = 20_000) -> list[Pattern]:
+def _apply(stock: Stock, filling: tuple[int, ...]) -> Pattern:
+    """Take a filling from the stock as often as it lasts."""
+    times: dict[int, int] = {}
+    for length in filling:
+        times[length] = times.get(length, 0) + 1
+    n = min(stock.left[length] // m for length, m in times.items())
+    for length, m in times.items():
+        stock.take(length, n * m)
+    return n, tuple(times.items())
+
+
+def _beside_longest(stock: Stock, capacity: int, fill: Callable[[Stock, int], list[tuple[int, ...]]]) -> list[tuple[int, ...]]:
+    """Fillings of a sequence that holds the longest piece."""
+    longest = stock.lengths[-1]
+    stock.take(longest, 1)
+    fills = fill(stock, capacity - longest)
+    stock.take(longest, -1)
+    return [(longest, *f) for f in fills]
+
+
+def best_fit_packing(counts: np.ndarray) -> list[Pattern]:
+    """Longest first, each sequence filled with the longest pieces that fit."""
+    stock, out = Stock(np.asarray(counts)), []
+    while stock.lengths:
+        out.append(_apply(stock, _beside_longest(stock, len(counts) - 1, lambda s, space: [best_fit(s, space)])[0]))
+    return out
+
+
+def solve(counts: np.ndarray, keep: int = 4, nodes: int = 400, tries: int = 12_000) -> list[Pattern]:
     """Patterns that use every piece of the histogram ``counts`` (index: length) once, in few sequences.
 
-    Each step takes the longest piece left, fills the space around it, and repeats that filling as often as stock
-    lasts. The first descent takes best fit where it wastes nothing, else the completion of least waste; then the
-    search goes back over the other completions while the waste so far leaves room for fewer sequences than the best
-    solution has, until the lower bound is met or ``tries`` steps are spent.
+    The best-fit packing is the first incumbent, and the answer if it meets the lower bound. Else each step takes the
+    longest piece left, fills the space around it with the completion of least waste, and repeats that filling as often
+    as stock lasts; the search goes back over the other completions while the waste so far leaves room for fewer
+    sequences than the incumbent has, until the lower bound is met or ``tries`` steps are spent. ``keep`` completions
+    of a step are kept, found within ``nodes`` nodes. These three bound the driver's work; no piece is ever left out.
     """
     capacity, stock = len(counts) - 1, Stock(np.asarray(counts))
-    least, best, best_n = lower_bound(np.asarray(counts)), [], None
+    least, best = lower_bound(np.asarray(counts)), best_fit_packing(counts)
+    best_n = sum(n for n, _ in best)
     path: list[tuple[Pattern, list[tuple[int, ...]]]] = []
     used = 0
-
-    def apply(filling: tuple[int, ...]) -> Pattern:
-        times: dict[int, int] = {}
-        for length in filling:
-            times[length] = times.get(length, 0) + 1
-        n = min(stock.left[length] // m for length, m in times.items())
-        for length, m in times.items():
-            stock.take(length, n * m)
-        return n, tuple(times.items())
-
-    while True:
-        if not stock.lengths and (best_n is None or used < best_n):
+    while best_n > least:
+        if not stock.lengths and used < best_n:
             best, best_n = [p for p, _ in path], used
-        if (best_n is not None and best_n <= least) or (tries <= 0 and best_n is not None):
-            return best
-        if stock.lengths and (best_n is None or used + -(-stock.volume // capacity) < best_n):
+            continue
+        if stock.lengths and used + -(-stock.volume // capacity) < best_n and tries > 0:
             tries -= 1
-            longest = stock.lengths[-1]
-            stock.take(longest, 1)
-            fit = best_fit(stock, capacity - longest)
-            fills = [fit]
-            if sum(fit) < capacity - longest:
-                fills = completions(stock, capacity - longest, keep, nodes) or [fit]
-            stock.take(longest, -1)
-            fills = [(longest, *fill) for fill in fills]
-            pattern = apply(fills[0])
-            path.append((pattern, fills[1:]))
-            used += pattern[0]
+            fills = _beside_longest(stock, capacity, lambda s, space: completions(s, space, keep, nodes) or [best_fit(s, space)])
+            path.append((_apply(stock, fills[0]), fills[1:]))
+            used += path[-1][0][0]
             continue
-        while path:  # back to the last step with another completion
+        while path and tries > 0:  # back to the last step with another completion
             (n, items), others = path.pop()
             used -= n
             for length, m in items:
                 stock.take(length, -n * m)
             if others:
-                pattern = apply(others[0])
-                path.append((pattern, others[1:]))
-                used += pattern[0]
+                path.append((_apply(stock, others[0]), others[1:]))
+                used += path[-1][0][0]
                 break
         else:
-            return best
+            break
+    return best
 
 
 def places(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
@@ -215,6 +224,7 @@ def pieces_of(docs: DataFrame, text: str, capacity: int, end: int, tokenizer: st
             data, step = encode(x.as_py()) + mark, 4 * capacity
             parts = [data[i : i + step] for i in range(0, len(data), step)]
             out.append([{"piece": i, "start": i * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "ids": p} for i, p in enumerate(parts)])
+        release()
         return pa.array(out, pa.list_(pa.struct([(n, t) for n, _, t in fields])))
 
     return docs.withColumn("packed piece", F.explode(pieces(F.col(text)))).select("*", "packed piece.*").drop("packed piece")
@@ -222,14 +232,16 @@ def pieces_of(docs: DataFrame, text: str, capacity: int, end: int, tokenizer: st
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 1, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset`` and, on
-    request, ``ids`` (little-endian 32-bit numbers).
+    request, ``ids`` (little-endian 32-bit numbers) and ``row``, a number for each row of ``docs``, which tells copies
+    of a document apart.
 
     A document is its token ids and the id ``end``; only a longer one than ``capacity`` is cut. A null or empty text
     is its end alone. Repeated rows are packed each; a null id is carried; other columns are left out; an empty table
     gives an empty result. Reruns give the same packing, as the pieces are written once and numbered by row.
     """
-    rows = pieces_of(docs.select(doc_id, text), text, capacity, end, tokenizer, with_ids).drop(text)
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    numbered = docs.select(doc_id, text, F.monotonically_increasing_id().alias("of row"))
+    rows = pieces_of(numbered, text, capacity, end, tokenizer, with_ids).drop(text)
+    rows = cut(rows.withColumn("piece row", F.monotonically_increasing_id()))
     counts = np.zeros(capacity + 1, np.int64)
     for r in rows.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["count"]
@@ -247,10 +259,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
 
     # Number the pieces of each length, a hot length in many parts.
     parts = max(16, -(-int(counts.max()) // 100_000))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("piece row"), F.lit(parts)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    own = F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "part").orderBy("piece row")) - 1
     numbered = rows.withColumn("own", own).join(firsts, ["length", "part"]).withColumn("number", F.col("first") + F.col("own"))
     placed = numbered.withColumn("place", place(F.col("length"), F.col("number")))
-    return placed.select(doc_id, "piece", "start", "length", "ids_crc32", "place.*", *["ids"] * with_ids)
+    return placed.select(doc_id, "piece", "start", "length", "ids_crc32", "place.*", *["ids", F.col("of row").alias("row")] * with_ids)

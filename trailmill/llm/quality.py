@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
@@ -94,7 +96,7 @@ class Reference:
         return js_distance(chars, self.chars), js_distance(own, self.words)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], words: int = 1_000_000) -> Iterator[list[tuple[str | None, str]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], words: int = 300_000) -> Iterator[list[tuple[str | None, str]]]:
     """(lang, text) of a partition, in runs of about so many words at most (one text is never split)."""
     held, n = [], 0
     for batch in batches:
@@ -126,6 +128,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[lang, None] = total
             out.update({(lang, w): n for w, n in words.items() if n >= total * COMMON / 2})
         yield _rows(out, pa.binary())
+    release()
 
 
 def _measured(candidates: dict[str, list[bytes]], rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -148,6 +151,7 @@ def _measured(candidates: dict[str, list[bytes]], rules: Rules) -> Callable[[Ite
                         own[at + 3 + 2 * i] += n
                         own[at + 2 + 2 * i] += n * passes
             yield _rows(Counter({(lang, i): int(n) for lang, own in sums.items() for i, n in enumerate(own)}), pa.int64())
+        release()
 
     return measure
 
@@ -225,7 +229,9 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str
 
     @F.arrow_udf(f"struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>")
     def verdict(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        return pa.array((measure(t.as_py(), x.as_py(), known, rules) for t, x in zip(texts, langs)), kind)
+        out = pa.array((measure(t.as_py(), x.as_py(), known, rules) for t, x in zip(texts, langs)), kind)
+        release()
+        return out
 
     taken = {*docs.columns, "kept"}
     spare = next(f"verdict{i}" for i in range(len(taken) + 1) if f"verdict{i}" not in taken)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpe, TokenCounter
-from .common import tokenizer_path
+from .common import release, tokenizer_path
 
 
 @lru_cache(maxsize=2)
@@ -37,7 +37,9 @@ def token_count(text: Column, tokenizer: str | None = None) -> Column:
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         counter = _counter(spec, whole)
-        return pa.array((counter.count(x.as_py()) for x in texts), pa.int64())
+        out = pa.array((counter.count(x.as_py()) for x in texts), pa.int64())
+        release()
+        return out
 
     return count(text)
 
