@@ -31,7 +31,8 @@ class Passages:
 
     Equal passages agree in the value and one side of each of the ``hashes`` functions' windows. Passages at the
     threshold do so for one function with probability 0.63, so for fewer than ``enough`` of 6 in 3 % of cases; of these,
-    and of what an earlier text hides, those are found again that agree under one of the first ``again``: all but 2 %.
+    and of what an earlier text hides, those are found again that agree under one of the first ``again``: all of the
+    equal ones, all but 14 % of those at the threshold.
     """
 
     words: int = 50
@@ -39,7 +40,7 @@ class Passages:
     percent: int = 75
     hashes: int = 6
     enough: int = 2
-    again: int = 4
+    again: int = 2
     seed: int = 9
     chunk_bytes: int = 8_000_000
 
@@ -253,9 +254,9 @@ def _around(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 tokens = mixed(shingle_prints(text_prints(text.as_py()), how.shingle))
                 padded = np.zeros(len(tokens) + 2 * reach, "<u2")
                 padded[reach : reach + len(tokens)] = tokens & np.uint64(0xFFFF)
-                for w in windows.as_py():
-                    if w["place"] < len(tokens):  # else a window of another text with this id
-                        for column, x in zip(out, (w["key"], doc, w["place"], w["open"], padded[w["place"] : w["place"] + 2 * reach + 1].tobytes())):
+                for key, place, is_open in {tuple(w.values()) for w in windows.as_py()}:
+                    if place < len(tokens):  # else a window of another text with this id
+                        for column, x in zip(out, (key, doc, place, is_open, padded[place : place + 2 * reach + 1].tobytes())):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], [x.split()[0] for x in AROUND.split(", ")])
         release()
@@ -264,7 +265,7 @@ def _around(how: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 #: Windows on one side of a square of one value.
-SQUARE = 8192
+SQUARE = 16_384
 BEST = "key bigint, doc bigint, place bigint, hub bigint, shared int"
 
 
@@ -355,16 +356,19 @@ def _hidden_pairs(links: DataFrame, spans: DataFrame, texts: DataFrame, how: Pas
     """Pairs of texts ``doc, hub`` to verify beside the stars: of each open window, the earlier text that agrees best.
 
     A window is open if several texts share its value and the least token of one side, and no verified passage of its
-    text covers it.
+    text covers it. It is held against all windows of the value but those in exact copies of an earlier text's passage.
     """
     windows = links.where("doc is null").select("keys", "docs", "places").mapInArrow(_unpacked, "key bigint, doc bigint, place bigint")
-    found = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
-    inside = F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + how.shingle <= s["start"] + s["words"]))
-    windows = cut(windows.join(found, "doc", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans"))
+    found = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "words", "similarity")).alias("spans"))
+    over = F.filter("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + how.shingle <= s["start"] + s["words"]))
+    best = F.array_max(F.transform(over, lambda s: s["similarity"]))
+    windows = windows.join(found, "doc", "left").select("key", "doc", "place", best.alias("best"))
+    # an exact copy stands behind the text it was copied from, which has the same value
+    windows = cut(windows.where("best is null or best < 1").select("key", "doc", "place", F.isnull("best").alias("open")))
     values = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last"), F.ceil(F.count("*") / SQUARE).cast("int").alias("sides"))
     values = values.where("last > least").select("key", "sides")
     windows = spread_join(windows, values.select("key"), "key", "doc")
-    of_text = windows.groupBy("doc").agg(F.collect_set(F.struct("key", "place", "open")).alias("windows"))
+    of_text = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "place", "open")).alias("windows"))
     around = of_text.join(texts.withColumnRenamed("id", "doc"), "doc").select("doc", "text", "windows").mapInArrow(_around(how), AROUND)
     members = spread_join(around, values, "key", "doc").withColumn("side", F.pmod(F.xxhash64("doc", "place"), F.col("sides")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
@@ -576,7 +580,7 @@ def _found(docs: DataFrame, how: Passages, doc_id: str, text: str) -> DataFrame:
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text")).where("id is not null and text is not null")
     texts = texts.withColumn("print", F.xxhash64("text"))
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(0, (n_bytes // 6 * 2 * how.hashes // how.run // 1_000_000).bit_length())
+    bits = max(0, (n_bytes // 6 * 2 * how.hashes // how.run // 100_000).bit_length())
     links = cut(texts.mapInArrow(_windows(how, bits), BLOBS).groupBy("bucket").applyInArrow(lambda blobs: _stars(blobs, how.again), PAIR))
     pairs = links.where("doc is not null").groupBy("doc", "hub").agg(F.bit_or("hashes").alias("hashes"))
     pairs = cut(pairs.where(F.bit_count("hashes") >= how.enough).select("doc", "hub"))
