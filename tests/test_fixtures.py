@@ -1,4 +1,4 @@
-"""Extracts and tracks read from XML, against counts taken from the files' own data."""
+"""Extracts and tracks read from XML: made-up ones, and counts taken from two extracts where they are at hand."""
 
 import os
 
@@ -40,6 +40,47 @@ def test_map_build(spark, name):
     assert session.build_map(nodes, ways).count() == want["merged"]
 
 
+EXTRACT = """<?xml version="1.0" encoding="UTF-8"?>
+<osm version="0.6"><bounds minlat="45.0" minlon="5.0" maxlat="45.1" maxlon="5.1"/>
+{nodes}
+  <node id="30" lat="45.0009" lon="5.0009"><tag k="amenity" v="bakery"/><tag k="shop" v="bread"/></node>
+  <node id="-5" lat="1" lon="1"/><node id="x" lat="1" lon="1"/><node id="3" lat="9" lon="9"/><node id="3" lat="45.0003" lon="5.0003"/>
+  <way id="1"><nd ref="0"/><nd ref="1"/><nd ref="2"/><nd ref="77"/><nd ref="3"/><tag k="highway" v="residential"/><tag k="name" v="Rue É"/></way>
+  <way id="2"><nd ref="2"/><nd ref="10"/><nd ref="11"/><tag k="highway" v="footway"/><tag k="bicycle" v="yes"/></way>
+  <way id="3"><nd ref="4"/><nd ref="5"/><tag k="highway" v="footway"/></way>
+  <way id="4"><nd ref="4"/><nd ref="5"/><tag k="highway" v="steps"/></way>
+  <way id="5"><nd ref="20"/><nd ref="21"/><tag k="highway" v="track"/><tag k="highway" v="path"/><tag k="name" v="Rue É"/></way>
+  <way id="6"><nd ref="0"/><tag k="piste:type" v="downhill"/><tag k="piste:difficulty" v="easy"/></way>
+{end}"""
+
+
+def extract(path, end="</osm>"):
+    """Nodes 0 to 29 on a diagonal; ids that are repeated, negative or no numbers; unknown references; repeated tags."""
+    nodes = "".join(f'<node id="{i}" lat="{45 + i / 10000}" lon="{5 + i / 10000}"/>' for i in range(30))
+    path.write_text(EXTRACT.format(nodes=nodes, end=end))
+    return str(path)
+
+
+@pytest.mark.parametrize("end", ["</osm>", '<way id="9"><nd ref="1"/><nd ref='])
+def test_synthetic_extract(spark, tmp_path, end):
+    """Whole, and cut off in the middle of a way."""
+    path = extract(tmp_path / "map.xml", end)
+    nodes, ways = osm.read_nodes(spark, path), osm.read_ways(spark, path)
+    places = {r["node_id"]: (r["lon"], r["lat"], len(r["tags"])) for r in nodes.collect()}
+    assert len(places) == 31 and places[3] == (5.0003, 45.0003, 0) and places[30][2] == 2
+    found = {r["way_id"]: r for r in ways.collect()}
+    assert set(found) == {1, 2, 3, 4, 5, 6} and found[1]["nd"] == [0, 1, 2, 77, 3] and found[5]["tags"]["highway"] == "path" and found[1]["name"] == "Rue É"
+    kept = ways.where(network.remote_way_filter(F.col("tags")) & network.local_way_filter(F.col("tags")))
+    assert {r["way_id"] for r in kept.collect()} == {1, 2, 5}
+    assert {r["way_id"] for r in ways.where(network.remote_way_filter(F.col("tags"), ski=True)).collect()} == {6}
+    pieces = network.split_ways(osm.way_nodes(kept).join(nodes, "node_id", "left_semi")).select("way_id", "piece").distinct()
+    assert sorted(tuple(r) for r in pieces.collect()) == [(1, 0), (1, 1), (2, 0), (5, 0)]
+    assert [(r["type"], r["lon"]) for r in network.interests(nodes, [("shop", "bread"), ("amenity", "bakery")]).collect()] == [(1, 5.0009)]
+    tiles = session.build_map(nodes, ways)
+    assert tiles.count() > 0 and tiles.where("cx1 = cx2 and cy1 = cy2").count() == 0
+    assert session.ski_maps(nodes, ways).count() == 0  # its only way has one node
+
+
 GPX = """<?xml version="1.0"?><gpx version="1.1"><trk><trkseg><trkpt lat="1" lon="2"/></trkseg></trk>
 <trk><trkseg>{0}</trkseg><trkseg>{1}</trkseg></trk></gpx>"""
 
@@ -49,14 +90,12 @@ def _point(lon, lat, ele="", cmt=""):
 
 
 def test_session_round_trip(spark, tmp_path):
-    first = "".join(_point(5.767 + i * 0.0002, 45.187 + i * 0.0002, 200 + i, "stop" if i == 3 else "") for i in range(8))
-    second = "".join(_point(5.7686, 45.1886 + i * 0.0003, 208 + i) for i in range(3))
+    first = "".join(_point(5 + i * 0.0002, 45 + i * 0.0002, 200 + i, "stop" if i == 3 else "") for i in range(8))
+    second = "".join(_point(5.0016, 45.0016 + i * 0.0003, 208 + i) for i in range(3))
     (tmp_path / "a.gpx").write_text(GPX.format(first, second))
     points = gpx.read_points(spark, str(tmp_path / "a.gpx"))
     assert points.count() == 11 and points.where("is_waypoint").count() == 1
-    path = os.path.join(FILES, "small.set")
-    if not os.path.exists(path):
-        pytest.skip("no extract")
+    path = extract(tmp_path / "map.xml")
     nodes, ways = osm.read_nodes(spark, path), osm.read_ways(spark, path)
     files = session.session_files(points, nodes, ways)
     rows = gpsfile.decode(files).collect()

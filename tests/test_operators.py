@@ -160,9 +160,11 @@ def test_binary_blocks():
     points = [(5.7, 45.1, True)] + [(5.7 + i / 100, 45.2, i == 8) for i in range(1, 10)]
     data = gpsfile.interests_block([(4, 7, 2, 10, 20)]) + gpsfile.path_block(points) + gpsfile.heights_block([1.9, -40000.0] + [3.0] * 8) + gpsfile.tiles_block(edges)
     rows = list(gpsfile.blocks(data))
-    assert sorted((r[2], r[3], *map(int, r[4:])) for r in rows if r[0] == "edge") == sorted(edges)
+    assert sorted((r[2], r[3], *map(int, r[4:8])) for r in rows if r[0] == "edge") == sorted(edges)
     assert [(r[4], r[5], bool(r[6])) for r in rows if r[0] == "point"] == points
     assert [r[4] for r in rows if r[0] == "height"][:2] == [1.0, -32768.0]
+    west = list(gpsfile.blocks(gpsfile.interests_block([(-3, -1, 2, 10, 20)])))
+    assert [tuple(r[2:7]) for r in west] == [(-3, -1, 2.0, 10.0, 20.0)]
     assert [tuple(r[2:7]) for r in rows if r[0] == "interest"] == [(4, 7, 2.0, 10.0, 20.0)]
     assert gpsfile.heights_block([1.0, None]) == b"" and gpsfile.interests_block([]) == b""
     with pytest.raises(ValueError):
@@ -170,6 +172,39 @@ def test_binary_blocks():
     assert struct.unpack_from("<BH", gpsfile.path_block(points)) == (gpsfile.PATH, 10)
 
 
+def test_files_west_and_south_of_zero(spark):
+    """Tracks on all sides of 0, with waypoints as interests and streets, come back as they were."""
+    points = [(t, i, x + i * 0.0004, y - i * 0.0003, float(100 + i), i in (0, 4)) for t, (x, y) in enumerate([(-3.7, -33.4), (-0.001, 0.001), (18.4, -33.9)]) for i in range(5)]
+    marked = spark.createDataFrame(points, "track_id int, seq int, lon double, lat double, ele double, is_waypoint boolean")
+    edges = network.quantised(network.tile_edges(network.cut_on_grid(network.segments(marked, ("track_id",)))))
+    spots = marked.where("is_waypoint").select(F.lit(0).alias("type"), "lon", "lat")
+    names = spark.createDataFrame([(0, "Calle Á", 3, 1), (0, "Calle Á", 4, 0), (2, "Long Street", 0, 0)], "track_id int, name string, tile_no int, local_id int")
+    rows = gpsfile.decode(gpsfile.encode(marked, edges, spots, street_edges=names))
+    got = rows.collect()
+    assert sorted((r["track_id"], r["number"], r["a"], r["b"], r["c"] == 1) for r in got if r["kind"] == "point") == [(t, i, x, y, f) for t, i, x, y, _, f in points]
+    assert {(r["tx"], r["ty"]) for r in got if r["kind"] == "interest" and r["track_id"] == 0} == {(math.floor(x / g.SIDE), math.floor(y / g.SIDE)) for t, _, x, y, _, f in points if f and t == 0}
+    assert sorted((r["track_id"], r["name"], r["a"], r["b"]) for r in got if r["kind"] == "street") == [(0, "Calle A", 3.0, 1.0), (0, "Calle A", 4.0, 0.0), (2, "Long Street", 0.0, 0.0)]
+    lines = {(r["track_id"], r["number"]): r["line"] for r in gpsfile.listing(rows).collect()}
+    assert lines[0, 0] == "-3.700000 -33.400000 100 m ***" and lines[0, 1].endswith("101 m")
+    bare = gpsfile.decode(gpsfile.encode(track.without_elevation(marked), edges, spots))
+    assert bare.where("kind = 'height'").count() == 0
+
+
+def test_route_to_street(spark):
+    places = spark.createDataFrame([(i, float(i % 4), float(i // 4)) for i in range(16)], "node int, x double, y double")
+    pairs = [(a, b) for a in range(16) for b in range(16) if abs(a % 4 - b % 4) + abs(a // 4 - b // 4) == 1 and {a, b} != {5, 6}]
+    links = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a int, b int, length double")
+    street = spark.createDataFrame([("high", 6), ("high", 15), ("far", 99)], "street string, node int")
+    requests = spark.createDataFrame([(1, 5, "high"), (2, 6, "high"), (3, 0, "far"), (4, 0, "none")], "request_id int, node int, street string")
+    got = {}
+    for r in graph.route_to_street(requests, links, places, street).orderBy("step").collect():
+        got.setdefault(r["request_id"], []).append(r["node"])
+    assert got == {1: [6, 2, 1, 5], 2: [6]}
+    goals = spark.createDataFrame([(1, 5, 6), (2, 0, 0)], "request_id int, source int, node int")
+    bound = {r["request_id"]: r["distance"] for r in graph.greedy_bound(links, places, goals).collect()}
+    assert bound == {1: 3.0, 2: 0.0}
+
+
 def test_street_dictionary(spark):
     names = [("Rue de l'Église", [(1, 2), (70000, 3)]), ("Avenue É", []), ("Zoé", [(4, 4)]), ("abc", [(5, 5)])]
     back = streets.decode(streets.encode(names))
@@ -182,6 +217,7 @@ def test_street_dictionary(spark):
 def test_picture(spark):
     points = spark.createDataFrame([(1, 0, 5.7, 45.1), (1, 1, 5.71, 45.11)], "track_id int, seq int, lon double, lat double")
     edges = spark.createDataFrame([(4275, 33825, 0, 0, 255, 255)], "tx bigint, ty bigint, cx1 int, cy1 int, cx2 int, cy2 int")
+    assert svg.COLORS[0] == "black" and svg.node_layer(points).count() == 2 and svg.segment_layer(network.segments(points, ("track_id",))).count() == 1
     text = svg.document(svg.draw(points, edges).unionByName(svg.layers(svg.point_layer(points))), (5.7, 45.1, 5.71, 45.11))
     assert text.startswith("<svg") and text.count("<circle") == 2 and "<polyline" in text and "<rect" in text and "<line" in text
     assert gpx.from_area(spark, 0.0, 1.0, 2.0, 3.0).count() == 5
@@ -220,6 +256,24 @@ def test_gate_in_batch_and_stream(spark, tmp_path):
     assert sorted(tuple(r)[:4] for r in spark.sql("select * from gate").collect()) == want
 
 
+def test_stream_drops_late_fixes(spark, tmp_path):
+    """What comes later than the delay behind the triggers before is dropped; what is late by less is gated."""
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    parts = [[(1, at(0), 5.0, 45.0), (1, at(20), 5.1, 45.0)], [(1, at(1), 5.2, 45.0), (1, at(19.5), 5.3, 45.0), (2, at(2), 6.0, 45.0)], [(1, at(30), 5.4, 45.0)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, FIX).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    stream = spark.readStream.schema(FIX + ", part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("part")
+    q = fixes.accepted_stream(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["lon"] for r in spark.sql("select * from late").collect()) == [5.0, 5.1, 5.3, 5.4]
+
+
+def test_simulated_fixes(spark):
+    rows = fixes.simulated(spark, (5.0, 45.0, 6.0, 46.0))
+    assert rows.isStreaming and rows.columns == ["device_id", "ts", "lon", "lat"]
+
+
 def test_viewport_join(spark):
     at = spark.createDataFrame([(1, 5.7001, 45.1001)], "device_id int, lon double, lat double")
     tx, ty = math.floor(5.7001 / g.SIDE), math.floor(45.1001 / g.SIDE)

@@ -62,11 +62,13 @@ def same_place(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def y_at_x(x1: Column, y1: Column, x2: Column, y2: Column, x: Column) -> Column:
-    return y1 + (x - x1) / (x2 - x1) * (y2 - y1)
+    """On the line through two points; null where it is upright."""
+    return y1 + (x - x1) / F.nullif(x2 - x1, F.lit(0.0)) * (y2 - y1)
 
 
 def x_at_y(x1: Column, y1: Column, x2: Column, y2: Column, y: Column) -> Column:
-    return x1 + (y - y1) / (y2 - y1) * (x2 - x1)
+    """On the line through two points; null where it is level."""
+    return x1 + (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) * (x2 - x1)
 
 
 def grid_lines_between(a: Column, b: Column, side: float = SIDE) -> Column:
@@ -77,15 +79,6 @@ def grid_lines_between(a: Column, b: Column, side: float = SIDE) -> Column:
     return F.transform(inside, lambda k: k.cast("double") * side)
 
 
-def crossings(x1: Column, y1: Column, x2: Column, y2: Column, side: float = SIDE) -> Column:
-    """The segment's ends and its crossings with grid lines, in order: array<struct<d2, x, y>>."""
-    at = lambda x, y: F.struct(squared_distance(x1, y1, x, y).alias("d2"), x.alias("x"), y.alias("y"))
-    on_x = F.transform(grid_lines_between(x1, x2, side), lambda x: at(x, y_at_x(x1, y1, x2, y2, x)))
-    on_y = F.transform(grid_lines_between(y1, y2, side), lambda y: at(x_at_y(x1, y1, x2, y2, y), y))
-    ends = F.array(F.struct(F.lit(0.0).alias("d2"), x1.alias("x"), y1.alias("y")), at(x2, y2))
-    return F.array_sort(F.array_distinct(F.concat(ends, on_x, on_y)))
-
-
 def nearest_whole(v: Column) -> Column:
     """Rounded, halves away from zero, as bigint. ``round`` on doubles goes through decimals, which costs far more."""
     size = F.abs(v)
@@ -110,11 +103,10 @@ def tiles_of(x: Column, y: Column, side: float = SIDE) -> Column:
     return F.flatten(F.transform(steps_x, lambda i: F.transform(steps_y, lambda j: F.struct((tx + i).alias("tx"), (ty + j).alias("ty")))))
 
 
-def cell_span(v: Column, side: float = SIDE) -> tuple[Column, Column]:
-    """The first and last tile coordinate that a coordinate belongs to."""
-    t = cell(v, side)
-    low, high = v - t.cast("double") * side < BORDER, (t + 1).cast("double") * side - v < BORDER
-    return t - low.cast("int"), t + high.cast("int")
+def cell_span(v: Column, tile: Column, side: float = SIDE) -> tuple[Column, Column]:
+    """The first and last tile coordinate that a coordinate in cell ``tile`` belongs to."""
+    low, high = v - tile.cast("double") * side < BORDER, (tile + 1).cast("double") * side - v < BORDER
+    return tile - low.cast("int"), tile + high.cast("int")
 
 
 def common_tile(x1: Column, y1: Column, x2: Column, y2: Column, side: float = SIDE) -> Column:
@@ -122,7 +114,7 @@ def common_tile(x1: Column, y1: Column, x2: Column, y2: Column, side: float = SI
     the two axes, so what two points share is the spans' overlap on each."""
     least, last = [], []
     for a, b in ((x1, x2), (y1, y2)):
-        (a0, a1), (b0, b1) = cell_span(a, side), cell_span(b, side)
+        (a0, a1), (b0, b1) = cell_span(a, cell(a, side), side), cell_span(b, cell(b, side), side)
         least.append(F.greatest(a0, b0))
         last.append(F.least(a1, b1))
     shared = (least[0] <= last[0]) & (least[1] <= last[1])

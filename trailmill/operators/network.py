@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions import geometry as g
+from trailmill.operators.lineage import running_total
 
 
 def remote_way_filter(tags: Column, ski: bool = False, keep_motorway_link: bool = False) -> Column:
@@ -67,23 +68,75 @@ def segments(points: DataFrame, key: Sequence[str] = ("way_id",)) -> DataFrame:
 
 
 def cut_on_grid(segments: DataFrame, side: float = g.SIDE) -> DataFrame:
-    """Segments cut where they cross grid lines, numbered by ``part``; segments without length go."""
-    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    points = segments.where("x1 <> x2 or y1 <> y2").withColumn("points", g.crossings(*ends, side)).drop("x1", "y1", "x2", "y2")
-    pairs = F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("a"), F.slice("points", 2, F.size("points")).alias("b"))
-    rows = points.select("*", F.posexplode(pairs).alias("part", "pair")).drop("points")
-    return rows.select(*[c for c in rows.columns if c != "pair"], *(F.col(f"pair.{p}.{v}").alias(f"{v}{n}") for p, n in (("a", 1), ("b", 2)) for v in "xy"))
+    """Segments cut where they cross grid lines, their pieces told apart by ``part``; segments without length go.
+
+    Each end and each crossing is a row of its own and finds where its piece ends by itself: the nearest of what comes
+    after it among the end and the lines next to it. So nothing is sorted, and all of it is arithmetic on flat columns.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    first = lambda a, b: F.floor(F.least(a, b) / side) + 1
+    last = lambda a, b: F.ceil(F.greatest(a, b) / side) - 1
+    # lines strictly between the ends, first to last
+    rows = segments.where("x1 <> x2 or y1 <> y2")
+    rows = rows.withColumns({"cut fx": first(x1, x2), "cut lx": last(x1, x2), "cut fy": first(y1, y2), "cut ly": last(y1, y2)})
+    fx, lx, fy, ly = (F.col(f"cut {c}") for c in ("fx", "lx", "fy", "ly"))
+    nx, n = F.greatest(lx - fx + 1, F.lit(0)), F.greatest(lx - fx + 1, F.lit(0)) + F.greatest(ly - fy + 1, F.lit(0))
+    part = F.col("part")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), n + 1)))
+    at_x, at_y = lambda x: g.y_at_x(x1, y1, x2, y2, x), lambda y: g.x_at_y(x1, y1, x2, y2, y)
+    line_x, line_y = (fx + part - 1).cast("double") * side, (fy + part - nx - 1).cast("double") * side
+    place = lambda start, on_x, on_y, end: F.when(part == 0, start).when(part <= nx, on_x).when(part <= n, on_y).otherwise(end)
+    rows = rows.withColumns({"cut x": place(x1, line_x, at_y(line_y), x2), "cut y": place(y1, at_x(line_x), line_y, y2)})
+    x, y = F.col("cut x"), F.col("cut y")
+    rows = rows.withColumns({"cut d2": g.squared_distance(x1, y1, x, y), "cut k": F.rint(x / side), "cut m": F.rint(y / side)})
+    # The line of either kind that is nearest to this place, the next one on the way, and the end. Steps of a few columns
+    # each: the compiler leaves long methods alone.
+    spots = {"x0": F.lit(0.0), "x1": F.signum(x2 - x1), "y0": F.lit(0.0), "y1": F.signum(y2 - y1)}
+    here = {s: F.col("cut k" if s[0] == "x" else "cut m") + step for s, step in spots.items()}
+    on = {s: k * side for s, k in here.items()}
+    rows = rows.withColumns({f"cut {s} {v}": at if s[0] == v else at_x(at) if s[0] == "x" else at_y(at) for s, at in on.items() for v in "xy"})
+    rows = rows.withColumns({f"cut {s} d2": g.squared_distance(x1, y1, F.col(f"cut {s} x"), F.col(f"cut {s} y")) for s in spots} | {"cut end d2": g.squared_distance(x1, y1, x2, y2)})
+    d2 = F.col("cut d2")
+    there = {s: (k >= fx) & (k <= lx) if s[0] == "x" else (k >= fy) & (k <= ly) for s, k in here.items()}
+    place_of = {s: (F.col(f"cut {s} d2"), F.col(f"cut {s} x"), F.col(f"cut {s} y")) for s in spots} | {"end": (F.col("cut end d2"), x2, y2)}
+    after = lambda far, px, py: (far > d2) | ((far == d2) & ((px > x) | ((px == x) & (py > y))))
+    # a crossing of two lines at once is one place
+    same = {s: there[s] & (place_of[s][1] == x) & (place_of[s][2] == y) for s in ("x0", "y0")}
+    again = ((part > nx) & same["x0"]) | ((part > n) & same["y0"])
+    rows = rows.withColumn("cut again", again)
+    rows = rows.withColumns({f"cut {s} to": F.when(~F.col("cut again") & there.get(s, F.lit(True)) & after(*p), p[0]) for s, p in place_of.items()})
+    far = {s: F.col(f"cut {s} to") for s in place_of}
+    # out of a generator of one row, below which conditions on it aren't pushed, where each would work it out again
+    rows = rows.withColumn("cut to", F.explode(F.array(F.least(*far.values())))).where("`cut to` is not null")
+    rows = rows.withColumn("cut to x", F.explode(F.array(F.least(*(F.when(far[s] == F.col("cut to"), p[1]) for s, p in place_of.items())))))
+    to_y = F.least(*(F.when((far[s] == F.col("cut to")) & (p[1] == F.col("cut to x")), p[2]) for s, p in place_of.items()))
+    kept = [c for c in segments.columns if c not in ("x1", "y1", "x2", "y2")]
+    return rows.select(*kept, "part", x.alias("x1"), y.alias("y1"), F.col("cut to x").alias("x2"), to_y.alias("y2"))
+
+
+def in_box(segments: DataFrame, x0: int, y0: int, x1: int, y1: int, side: float = g.SIDE) -> DataFrame:
+    """Segments that can have a piece in the tiles from (x0, y0) to (x1, y1): to filter before cutting."""
+    near = lambda a, b, low, high: (F.greatest(a, b) >= (low - 1) * side) & (F.least(a, b) <= (high + 2) * side)
+    return segments.where(near("x1", "x2", x0, x1) & near("y1", "y2", y0, y1))
 
 
 def tile_edges(cut: DataFrame, side: float = g.SIDE) -> DataFrame:
-    """Cut segments with the least tile that holds both ends.
+    """Cut segments with the least tile that holds both ends; null where there is none.
 
     The tile comes out of a generator of one row: conditions on what is computed from it later aren't pushed below,
     where they would each work it out again.
     """
-    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    rows = cut.withColumn("tile", F.explode(F.array(g.common_tile(*ends, side))))
-    return rows.select(*[c for c in cut.columns if c not in ("x1", "y1", "x2", "y2")], F.col("tile.tx").alias("tx"), F.col("tile.ty").alias("ty"), "x1", "y1", "x2", "y2")
+    ends = ("x1", "y1", "x2", "y2")
+    rows = cut.withColumns({f"tile {v}": g.cell(F.col(v), side) for v in ends})
+    spans = {v: g.cell_span(F.col(v), F.col(f"tile {v}"), side) for v in ends}
+    rows = rows.withColumns({f"tile {v} {n}": spans[v][n] for v in ends for n in (0, 1)})
+    col = lambda v, n: F.col(f"tile {v} {n}")
+    least = {v: F.greatest(col(f"{v}1", 0), col(f"{v}2", 0)) for v in "xy"}
+    last = {v: F.least(col(f"{v}1", 1), col(f"{v}2", 1)) for v in "xy"}
+    rows = rows.withColumns({f"tile least {v}": least[v] for v in "xy"} | {"tile shared": (least["x"] <= last["x"]) & (least["y"] <= last["y"])})
+    tile = F.when(F.col("tile shared"), F.struct(F.col("tile least x").alias("tx"), F.col("tile least y").alias("ty")))
+    rows = rows.withColumn("tile", F.explode(F.array(tile)))
+    return rows.select(*[c for c in cut.columns if c not in ends], F.col("tile.tx").alias("tx"), F.col("tile.ty").alias("ty"), *ends)
 
 
 def edges_per_tile(edges: DataFrame) -> DataFrame:
@@ -119,12 +172,11 @@ def merge_collinear(edges: DataFrame) -> DataFrame:
 
 def tile_prefix(edges: DataFrame) -> DataFrame:
     """Non-empty tiles in row-major order with their number in the grid's extent and the running end of their edges."""
-    tiles = edges_per_tile(edges)
+    tiles = running_total(edges_per_tile(edges), ("ty", "tx"), F.col("n_edges"), "end")
     box = tiles.agg(F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"))
     rows = tiles.join(F.broadcast(box))  # one row
     number = (F.col("ty") - F.col("y0")) * (F.col("x1") - F.col("x0") + 1) + F.col("tx") - F.col("x0")
-    running = Window.orderBy("tile_no").rowsBetween(Window.unboundedPreceding, 0)  # one row a tile
-    return rows.withColumn("tile_no", number).select("tile_no", "tx", "ty", "n_edges", F.sum("n_edges").over(running).alias("end"))
+    return rows.select(number.alias("tile_no"), "tx", "ty", "n_edges", "end")
 
 
 def grid_extent(edges: DataFrame) -> DataFrame:
@@ -164,6 +216,12 @@ def kept_streets(street_ways: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.groupBy("name").agg(F.array_sort(F.collect_set("way_id")).alias("ways"))
 
 
+def street_tiles(street_ways: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per street and tile the edges of its ways there: ``name, tx, ty, edges``, as an array of ends in order."""
+    ends = F.struct("x1", "y1", "x2", "y2")
+    return street_ways.join(edges, "way_id").groupBy("name", "tx", "ty").agg(F.array_sort(F.collect_set(ends)).alias("edges"))
+
+
 def interests(node_tags: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
     """``type, lon, lat`` of nodes ``(node_id, lon, lat, tags: array<struct<k, v>>)`` with a wanted tag: its number in
     the list from 1 (the last, if listed twice), by the node's last matching tag."""
@@ -179,14 +237,12 @@ def interests_tiled(points: DataFrame, side: float = g.SIDE) -> DataFrame:
     rows = points.select("type", "lon", "lat", g.cell(F.col("lon"), side).alias("tx"), g.cell(F.col("lat"), side).alias("ty"))
     place = F.struct("type", g.quantise(F.col("lon"), F.col("tx"), side).alias("cx"), g.quantise(F.col("lat"), F.col("ty"), side).alias("cy"))
     tiles = rows.groupBy("tx", "ty").agg(F.array_sort(F.collect_list(place)).alias("places"))
-    running = Window.orderBy("ty", "tx").rowsBetween(Window.unboundedPreceding, 0)  # one row a tile
-    return tiles.withColumn("end", F.sum(F.size("places")).over(running))
+    return running_total(tiles, ("ty", "tx"), F.size("places").cast("bigint"), "end")
 
 
 def street_blocks(street_ways: DataFrame) -> DataFrame:
     """Streets in order of their names' bytes, in blocks of about the square root of their number."""
-    names = street_ways.groupBy("name").agg(F.countDistinct("way_id").alias("n_ways"))
-    everything = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy("name")) - 1  # one row a street name
-    size = F.ceil(F.sqrt(F.count("*").over(everything)))
-    return names.withColumn("block", F.call_function("div", rank.cast("bigint"), size.cast("bigint")))
+    names = running_total(street_ways.groupBy("name").agg(F.countDistinct("way_id").alias("n_ways")), ("name",), F.lit(1).cast("bigint"), "rank")
+    size = names.agg(F.ceil(F.sqrt(F.count("*"))).cast("bigint").alias("size"))
+    names = names.join(F.broadcast(size))  # one row
+    return names.select("name", "n_ways", F.call_function("div", F.col("rank") - 1, F.greatest("size", F.lit(1))).alias("block"))

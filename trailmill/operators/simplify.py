@@ -25,22 +25,48 @@ def segment_distances(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nd
     return np.sqrt(((a + t[:, None] * along - points) ** 2).sum(axis=1))
 
 
+def _ends_in_view(points: np.ndarray, i: int, epsilon: float) -> np.ndarray:
+    """The vertices after ``i`` that a chord from it may end at, among which are all valid ones.
+
+    A chord passes within ``epsilon`` of a vertex only in a direction inside the cone that the circle around the vertex
+    fills; the cones of all vertices before its end must meet.
+    """
+    dx, dy = (points[i + 1 :] - points[i]).T
+    far = np.hypot(dx, dy)
+    outside = np.flatnonzero(far > epsilon * (1 + 1e-6))
+    if not len(outside):
+        return np.arange(i + 1, len(points))
+    angle = np.arctan2(dy, dx)
+    turn = np.remainder(angle - angle[outside[0]] + np.pi, 2 * np.pi) - np.pi
+    half = np.full(len(far), np.inf)
+    half[outside] = np.arcsin(np.minimum(1.0, epsilon / far[outside])) + 1e-7
+    low = np.concatenate([[-np.inf], np.maximum.accumulate(turn - half)[:-1]])
+    high = np.concatenate([[np.inf], np.minimum.accumulate(turn + half)[:-1]])
+    # an end close by has any direction: its place decides, not its angle
+    return i + 1 + np.flatnonzero(((low <= turn) & (turn <= high)) | ((far <= epsilon * (1 + 1e-6)) & (low <= high + np.pi)))
+
+
 def fewest_points(points: np.ndarray, epsilon: float) -> list[int]:
     """Indices of the fewest vertices such that every skipped one lies within ``epsilon`` of its chord.
 
     This is the path with the fewest hops from the first vertex to the last over valid chords; among equals, each
-    vertex is reached from the earliest one.
+    vertex is reached from the earliest one. Vertices are reached hop by hop, and each one is tried once by those of
+    the hop before that can see it.
     """
     n = len(points)
-    hops, back = np.full(n, n, np.int64), np.zeros(n, np.int64)
-    hops[0] = 0
-    for j in range(1, n):
-        for i in sorted(range(j), key=lambda i: (hops[i], i)):
-            if hops[i] + 1 >= hops[j]:
-                break
-            if j - i == 1 or (segment_distances(points[i + 1 : j], points[i], points[j]) <= epsilon).all():
-                hops[j], back[j] = hops[i] + 1, i
+    back = np.full(n, -1)
+    back[0] = 0
+    level = [0]
+    while level and back[n - 1] < 0:
+        reached: list[int] = []
+        for i in level:
+            for j in _ends_in_view(points, i, epsilon):
+                if back[j] < 0 and (j - i == 1 or (segment_distances(points[i + 1 : j], points[i], points[j]) <= epsilon).all()):
+                    back[j] = i
+                    reached.append(int(j))
+            if back[n - 1] >= 0:
                 break
+        level = sorted(reached)
     out = [n - 1]
     while out[-1]:
         out.append(int(back[out[-1]]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions import geometry as g
@@ -32,12 +32,15 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return network.segments(network.located(a.way_nodes(spark, d), a.nodes(spark, d)))
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return network.tile_edges(network.cut_on_grid(_segments(spark, d)))
+def _edges(spark: SparkSession, d: str, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Of a box of tiles, only what can have an edge in it is cut."""
+    rows = _segments(spark, d)
+    return network.tile_edges(network.cut_on_grid(network.in_box(rows, *box) if box else rows))
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return network.merge_collinear(network.quantised(_edges(spark, d)))
+def _merged(spark: SparkSession, d: str, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    edges = _edges(spark, d, box)
+    return network.merge_collinear(network.quantised(network.rect_clip(edges, *box) if box else edges))
 
 
 def _path_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -89,17 +92,22 @@ def motorway_filter(spark: SparkSession, d: str) -> DataFrame:
     return a.ways(spark, d).select("way_id", F.coalesce(network.remote_way_filter(F.col("tags")), F.lit(False)).alias("kept"))
 
 
+def _ski_tags() -> Column:
+    """Orders' priorities and states stand for tags of pistes and lifts."""
+    levels = F.create_map(F.lit("1-URGENT"), F.lit("advanced"), F.lit("2-HIGH"), F.lit("easy"), F.lit("3-MEDIUM"), F.lit("novice"), F.lit("5-LOW"), F.lit("other"))
+    kind = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("downhill")).otherwise(F.lit("nordic"))
+    run = F.create_map(F.lit("piste:difficulty"), levels[F.col("o_orderpriority")], F.lit("piste:type"), kind)
+    return F.when(F.col("o_orderstatus") == "P", F.create_map(F.lit("aerialway"), F.lit("chair_lift"))).otherwise(run)
+
+
 @query
 def piste_levels(spark: SparkSession, d: str) -> DataFrame:
-    levels = F.create_map(F.lit("1-URGENT"), F.lit("advanced"), F.lit("2-HIGH"), F.lit("easy"), F.lit("3-MEDIUM"), F.lit("novice"), F.lit("5-LOW"), F.lit("other"))
-    rows = spark.read.parquet(f"{d}/orders.parquet")
-    lift = F.when(F.col("o_orderstatus") == "P", F.create_map(F.lit("aerialway"), F.lit("chair_lift"))).otherwise(F.create_map(F.lit("piste:difficulty"), levels[F.col("o_orderpriority")]))
-    return rows.select("o_orderkey", g.piste(lift).cast("int").alias("piste"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", g.piste(_ski_tags()).cast("int").alias("piste"))
 
 
 @query
 def interest_match(spark: SparkSession, d: str) -> DataFrame:
-    return _interests(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("lon"), 6).alias("sum_lon"))
+    return _interests(spark, d).select("type", "lon", "lat")
 
 
 @query
@@ -152,8 +160,7 @@ def edge_tile_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def quantise(spark: SparkSession, d: str) -> DataFrame:
-    rows = network.quantised(_edges(spark, d))
-    return rows.groupBy("tx", "ty").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in ("cx1", "cy1", "cx2", "cy2")))
+    return network.quantised(_edges(spark, d)).select("way_id", "seq", "tx", "ty", "cx1", "cy1", "cx2", "cy2")
 
 
 @query
@@ -185,17 +192,17 @@ def corridor_clip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rect_clip(spark: SparkSession, d: str) -> DataFrame:
-    return network.edges_per_tile(network.rect_clip(_merged(spark, d), *RECT))
+    return network.edges_per_tile(_merged(spark, d, RECT))
 
 
 @query
 def viewport_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return network.viewport(_merged(spark, d), *VIEW)
+    return _merged(spark, d, (VIEW[0] - 1, VIEW[1] - 1, VIEW[0] + 1, VIEW[1] + 1))
 
 
 @query
 def fit_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return network.grid_extent(network.rect_clip(_merged(spark, d), *RECT))
+    return network.grid_extent(_merged(spark, d, RECT))
 
 
 @query
@@ -206,13 +213,12 @@ def bbox(spark: SparkSession, d: str) -> DataFrame:
 @query
 def interests_tiled(spark: SparkSession, d: str) -> DataFrame:
     tiles = network.interests_tiled(_interests(spark, d))
-    total = lambda f: F.aggregate("places", F.lit(0), lambda s, p: s + p[f])
-    return tiles.select("tx", "ty", F.size("places").alias("n"), F.col("end"), total("cx").alias("sum_cx"), total("cy").alias("sum_cy"))
+    return tiles.select("tx", "ty", "end", F.posexplode("places").alias("number", "place")).select("tx", "ty", "end", "number", "place.*")
 
 
 @query
 def kept_streets(spark: SparkSession, d: str) -> DataFrame:
-    kept = network.kept_streets(_street_ways(spark, d), network.rect_clip(_edges(spark, d), *RECT))
+    kept = network.kept_streets(_street_ways(spark, d), network.rect_clip(_edges(spark, d, RECT), *RECT))
     return kept.select("name", F.size("ways").alias("n_ways"), F.element_at("ways", 1).alias("first_way"))
 
 
@@ -291,8 +297,7 @@ def spaced_waypoints(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def polyline_arrays(spark: SparkSession, d: str) -> DataFrame:
-    rows = track.flat_arrays(a.track_points(spark, d))
-    return rows.select("track_id", F.size("polyline").alias("n"), F.col("polyline")[0].alias("lat0"), F.col("polyline")[1].alias("lon0"))
+    return track.flat_arrays(a.track_points(spark, d)).select("track_id", F.posexplode("polyline").alias("place", "value"))
 
 
 @query
@@ -343,10 +348,56 @@ def detect_crossroads(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def shortest_distance(spark: SparkSession, d: str) -> DataFrame:
-    sources = a.nodes(spark, d).where("node_id in (1, 17)").select(F.col("node_id").alias("source"), F.col("node_id").alias("node"))
+    sources = a.nodes(spark, d).where("node_id % 50 = 1").select(F.col("node_id").alias("source"), F.col("node_id").alias("node"))
     return graph.routes(_links(spark, d), sources).select("source", "node", "distance")
 
 
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """From each of the first nodes to one of seven streets."""
+    return a.nodes(spark, d).where("node_id between 1 and 40").select(F.col("node_id").alias("request_id"), F.col("node_id").alias("node"), (F.col("node_id") * 5 % 7).alias("street"))
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    return a.nodes(spark, d).select(F.col("node_id").alias("node"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+
+
+@query
+def street_route(spark: SparkSession, d: str) -> DataFrame:
+    streets_of = _places(spark, d).where("node > 40").select((F.col("node") % 7).alias("street"), "node")
+    return graph.route_to_street(_requests(spark, d), _links(spark, d), _places(spark, d), streets_of)
+
+
+@query
+def street_nearest(spark: SparkSession, d: str) -> DataFrame:
+    requests = _requests(spark, d).join(_places(spark, d), "node").select("request_id", "x", "y", "street")
+    its = _places(spark, d).where("node > 40").select((F.col("node") % 7).alias("street"), "node", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    return graph.nearest_of_street(requests, its)
+
+
+@query
+def node_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return graph.node_numbers(_road_graph(spark, d))
+
+
+@query
+def street_tiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = network.street_tiles(_street_ways(spark, d), network.rect_clip(_edges(spark, d, RECT), *RECT))
+    return rows.select("name", "tx", "ty", F.size("edges").alias("n_edges"), F.element_at("edges", 1)["x1"].alias("first_x"), F.element_at("edges", -1)["y2"].alias("last_y"))
+
+
+@query
+def ski_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    return rows.select("o_orderkey", F.coalesce(network.remote_way_filter(_ski_tags(), ski=True), F.lit(False)).alias("kept"))
+
+
+@query
+def piste_subset(spark: SparkSession, d: str) -> DataFrame:
+    """The ways of each difficulty's map."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", g.piste(_ski_tags()).alias("piste"))
+    return rows.where("piste is not null").groupBy("piste").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_way"))
+
+
 @query
 def components(spark: SparkSession, d: str) -> DataFrame:
     links = a.nodes(spark, d).select(F.col("node_id").alias("a"), (F.col("node_id") - F.col("node_id") % 10 + F.col("node_id") * 3 % 10).alias("b"))
@@ -389,7 +440,7 @@ def fix_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def noise_gate(spark: SparkSession, d: str) -> DataFrame:
-    return fixes.accepted(_fixes(spark, d)).select("device_id", "ts", "lon", "lat", F.round("heading", 9).alias("heading"))
+    return fixes.accepted(_fixes(spark, d)).select("device_id", F.unix_micros("ts").alias("ts_us"), "lon", "lat", F.round("heading", 9).alias("heading"))
 
 
 @query

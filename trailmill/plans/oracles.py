@@ -118,6 +118,40 @@ CELLS = f"""{PATH_SEGMENTS}, turned as (select track_id, abs(y1-y2) > abs(x1-x2)
   from stops, (values (-1),(0),(1)) a(i), (values (-1),(0),(1)) b(j))"""
 
 
+BOUNDARY = "s as (select track_id, tx+i bx, ty+j by_, tx+a x1, ty+b y1, tx+c x2, ty+d y2 from cells, (values (-1,0,0,0,0,1),(1,0,1,1,1,0),(0,1,0,1,1,1),(0,-1,1,0,0,0)) v(i,j,a,b,c,d))"
+
+
+def _metres(x1: str, y1: str, x2: str, y2: str) -> str:
+    a = f"(sin(radians({y2}-{y1})/2)**2 + cos(radians({y1}))*cos(radians({y2}))*sin(radians({x2}-{x1})/2)**2)"
+    return f"2*6371000.0*atan2(sqrt({a}), sqrt(1-{a}))"
+
+
+INTEREST_CODES = f"""{INTERESTS}, placed as (select type, lon, lat, {cell('lon')} tx, {cell('lat')} ty from interests),
+ codes as (select type, tx, ty, least(255, greatest(0, round((lon-tx*{SIDE})*255/{SIDE})))::int cx, least(255, greatest(0, round((lat-ty*{SIDE})*255/{SIDE})))::int cy from placed)"""
+
+
+def chords(source: str, epsilon: str, allowed: str = "true") -> str:
+    """chords(track_id, i, j): vertices of a track (flagged by w, with the flags up to them in n) between which all
+    others lie near the chord."""
+    l2 = "((b.lon-a.lon)*(b.lon-a.lon)+(b.lat-a.lat)*(b.lat-a.lat))"
+    t = f"least(1.0, greatest(0.0, ((p.lon-a.lon)*(b.lon-a.lon)+(p.lat-a.lat)*(b.lat-a.lat))/{l2}))"
+    return f"""chords as (select a.track_id, a.seq i, b.seq j from {source} a join {source} b on a.track_id = b.track_id and b.seq > a.seq and {allowed} where not exists (
+  select 1 from {source} p where p.track_id = a.track_id and p.seq > a.seq and p.seq < b.seq and (case when {l2} = 0 then (p.lon-a.lon)*(p.lon-a.lon)+(p.lat-a.lat)*(p.lat-a.lat)
+  else (a.lon+(b.lon-a.lon)*{t}-p.lon)**2 + (a.lat+(b.lat-a.lat)*{t}-p.lat)**2 end) > {epsilon}*{epsilon}))"""
+
+
+#: From starts(track_id, s) over chords to stops(track_id, s, e): the vertices of the ways with the fewest hops.
+FEWEST = """hops as (select track_id, s, s v, 0 h from starts union select c.track_id, s, c.j, h + 1 from hops join chords c on c.track_id = hops.track_id and c.i = v where h < 100),
+ least_hops as (select track_id, s, v, min(h) h from hops group by track_id, s, v),
+ came as (select b.track_id, b.s, b.v, min(c.i) p from chords c join least_hops b on b.track_id = c.track_id and b.v = c.j join least_hops a on a.track_id = c.track_id and a.s = b.s and a.v = c.i where a.h + 1 = b.h group by b.track_id, b.s, b.v),
+ walked as (select track_id, s, e v from stops union all select walked.track_id, walked.s, p from walked join came using (track_id, s, v))"""
+
+LINKS = f"""{NODES}, links as (select node_id a, node_id*m+p b, (node_id % q + 1)::double length from nodes, (values (2,0,5),(2,1,7),(3,0,3)) v(m,p,q) where node_id*m+p in (select node_id from nodes))"""
+REQUESTS = """requests as (select node_id request_id, node_id node, node_id * 5 % 7 street, lon x, lat y from nodes where node_id between 1 and 40),
+ ends as (select request_id, source, n[2] node from (select request_id, any_value(r.node) source, min(row((t.lon-x)*(t.lon-x)+(t.lat-y)*(t.lat-y), t.node_id)) n
+  from requests r join nodes t on t.node_id > 40 and t.node_id % 7 = street group by request_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     street_ways = f"{WAYS}, street_ways as (select name, way_id from ways where name is not null)"
     streets = f"{street_ways}, names as (select name, count(distinct way_id) n_ways from street_ways group by name), blocks as (select name, n_ways, ((row_number() over (order by name) - 1) // (select ceil(sqrt(count(*)))::bigint from names)) block from names)"
@@ -131,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "way_filter": f"with {WAYS} select way_id, highway from ways where highway not in ('raceway','steps') and (highway <> 'footway' or coalesce(bicycle = 'yes', false)) and highway not in ('motorway','trunk','trunk_link','motorway_link')",
         "motorway_filter": f"with {WAYS} select way_id, coalesce(highway not in ('motorway','trunk','trunk_link','motorway_link'), false) kept from ways",
         "piste_levels": "select o_orderkey, case when o_orderstatus = 'P' then 4 when o_orderpriority = '1-URGENT' then 3 when o_orderpriority = '2-HIGH' then 1 when o_orderpriority = '3-MEDIUM' then 0 end::int piste from orders",
-        "interest_match": f"with {INTERESTS} select type, count(*) n, round(sum(lon), 6) sum_lon from interests group by type",
+        "interest_match": f"with {INTERESTS} select type, lon, lat from interests",
         "node_degree": f"with {WAY_NODES} select node_id, count(*) degree from way_nodes group by node_id",
         "used_nodes": f"with {NODES}, {WAY_NODES} select node_id from nodes where node_id in (select node_id from way_nodes)",
         "way_split": f"""with {WAY_NODES}, deg as (select node_id, count(*) d from way_nodes group by node_id),
@@ -145,7 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "tile_neighbours": f"with {NODES}, {tiles('nodes', 'node_id', 'lon', 'lat', 't')} select * from t",
         "common_tile": f"with {EDGES} select way_id, tx, ty, count(*) n from edges group by way_id, tx, ty",
         "edge_tile_histogram": f"with {EDGES} {PER_TILE.format('edges')}",
-        "quantise": f"with {QUANT} select tx, ty, count(*) n, sum(cx1)::bigint sum_cx1, sum(cy1)::bigint sum_cy1, sum(cx2)::bigint sum_cx2, sum(cy2)::bigint sum_cy2 from quant group by tx, ty",
+        "quantise": f"with {QUANT} select way_id, seq, tx, ty, cx1, cy1, cx2, cy2 from quant",
         "dequantise": f"with {NODES}, c as (select node_id, lon, {cell('lon')} t from nodes), q as (select *, least(255, greatest(0, round((lon-t*{SIDE})*255/{SIDE})))::int code from c) select node_id, code, round(t*{SIDE} + code/255.0::double*{SIDE} - lon, 12) error from q",
         "collinear_merge": f"with {MERGED} select * from merged",
         "tile_prefix": f"with {MERGED}, n as ({PER_TILE.format('merged')}), box as (select min(tx) x0, max(tx) x1, min(ty) y0 from n) select (ty-y0)*(x1-x0+1)+tx-x0 tile_no, tx, ty, n_edges, (sum(n_edges) over (order by ty, tx))::bigint as \"end\" from n, box",
@@ -155,10 +189,8 @@ def oracle_sql() -> dict[str, str]:
         "viewport_tiles": f"with {MERGED} select * from merged where {VIEW}",
         "fit_bounds": f"with {MERGED} select min(tx) x0, min(ty) y0, max(tx)-min(tx)+1 width, max(ty)-min(ty)+1 height from merged where {RECT}",
         "bbox": f"with {NODES} select min(lon) x0, min(lat) y0, max(lon) x1, max(lat) y1 from nodes",
-        "interests_tiled": f"""with {INTERESTS}, t as (select type, lon, lat, {cell('lon')} tx, {cell('lat')} ty from interests),
- c as (select tx, ty, least(255, greatest(0, round((lon-tx*{SIDE})*255/{SIDE})))::int cx, least(255, greatest(0, round((lat-ty*{SIDE})*255/{SIDE})))::int cy from t),
- n as (select tx, ty, count(*) n, sum(cx) sum_cx, sum(cy) sum_cy from c group by tx, ty)
- select tx, ty, n::int n, (sum(n) over (order by ty, tx))::bigint as "end", sum_cx::int sum_cx, sum_cy::int sum_cy from n""",
+        "interests_tiled": f"""with {INTEREST_CODES}, n as (select tx, ty, (sum(count(*)) over (order by ty, tx))::bigint ends from codes group by tx, ty)
+ select tx, ty, ends as "end", (row_number() over (partition by tx, ty order by type, cx, cy) - 1)::int number, type, cx, cy from codes join n using (tx, ty)""",
         "kept_streets": f"with {EDGES}, {street_ways} select name, count(distinct way_id)::int n_ways, min(way_id) first_way from street_ways where way_id in (select way_id from edges where {RECT}) group by name",
         "street_blocks": f"with {streets} select * from blocks",
         "street_menu": f"with {streets} select block, min(name) label, count(*) n from blocks group by block",
@@ -186,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
  kept as (select track_id, seq, travelled from c where seq = 0
   union all select track_id, m[2], m[1] from (select c.track_id, min(row(c.travelled, c.seq)) m from kept k join c on c.track_id = k.track_id and c.seq > k.seq and c.travelled - k.travelled > 0.01 group by c.track_id))
  select track_id, seq from kept""",
-        "polyline_arrays": f"with {TRACK} select track_id, (2*count(*))::int n, min_by(lat, seq) lat0, min_by(lon, seq) lon0 from track group by track_id",
+        "polyline_arrays": f"with {TRACK} select track_id, (2*seq + k)::int place, case k when 0 then lat else lon end as value from track, (values (0),(1)) t(k)",
         "crossroads": f"with {GRAPH}, {crossroads} select * from crossroads",
         "snap_join": f"with {TRACK}, {NODES}, pts as (select distinct lon x, lat y from track), nds as (select distinct lon x, lat y from nodes), {near('pts', 'nds', '0.0001', 'n')} select track_id, seq, nx, ny from track join n on n.x = lon and n.y = lat",
         "adjacency": f"with {LEAVING} select x, y, edge_id, ox, oy from leaving",
@@ -202,13 +234,27 @@ def oracle_sql() -> dict[str, str]:
   union all select track_id, b[2], b[1] from (select c.track_id, min(row(c.travelled, c.seq)) b from kept k join c on c.track_id = k.track_id and c.travelled - k.travelled > 0.0003 group by c.track_id))
  select track_id, seq from kept""",
         "shortest_distance": f"""with recursive {NODES}, links as (select node_id a, node_id*m+p b, (node_id % q + 1)::double length from nodes, (values (2,0,5),(2,1,7),(3,0,3)) v(m,p,q) where node_id*m+p in (select node_id from nodes)),
- r as (select node_id source, node_id node, 0.0::double distance from nodes where node_id in (1, 17) union select source, b, distance + length from r join links on a = node)
+ r as (select node_id source, node_id node, 0.0::double distance from nodes where node_id % 50 = 1 union select source, b, distance + length from r join links on a = node)
  select source, node, min(distance) distance from r group by source, node""",
+        "street_route": f"""with recursive {LINKS}, {REQUESTS},
+ r as (select node source, node, 0.0::double distance from requests union select source, b, min(distance + length) from r join links on a = node group by source, b),
+ best as (select source, node, min(distance) distance from r group by source, node),
+ came as (select t.source, t.node, min(a) previous from best t join links on b = t.node join best f on f.source = t.source and f.node = a where f.distance + length = t.distance and t.node <> t.source group by t.source, t.node),
+ back as (select request_id, source, node, 0 step from ends semi join best on best.source = ends.source and best.node = ends.node
+  union all select request_id, back.source, previous, step + 1 from back join came on came.source = back.source and came.node = back.node)
+ select request_id, step, node from back""",
+        "street_nearest": f"with {LINKS}, {REQUESTS} select request_id, node from ends",
+        "node_dictionary": f"with {GRAPH} select x, y, row_number() over (order by x, y) - 1 node from (select distinct x, y from ends)",
+        "street_tiles": f"""with {EDGES}, {street_ways}, t as (select distinct name, tx, ty, x1, y1, x2, y2 from street_ways join edges using (way_id) where {RECT})
+ select name, tx, ty, count(*)::int n_edges, arg_min(x1, row(x1, y1, x2, y2)) first_x, arg_max(y2, row(x1, y1, x2, y2)) last_y from t group by name, tx, ty""",
+        "ski_filter": "select o_orderkey, o_orderstatus = 'P' or o_orderpriority in ('1-URGENT', '2-HIGH') kept from orders",
+        "piste_subset": """select piste::int piste, count(*) n, min(o_orderkey) first_way from (select o_orderkey, case when o_orderstatus = 'P' then 4 when o_orderpriority = '1-URGENT' then 3
+  when o_orderpriority = '2-HIGH' then 1 when o_orderpriority = '3-MEDIUM' then 0 end piste from orders) where piste is not null group by piste""",
         "components": f"""with recursive {NODES}, l as (select node_id a, node_id - node_id % 10 + node_id*3 % 10 b from nodes), u as (select a, b from l union select b, a from l),
  r as (select distinct a node, a reach from u union select r.node, u.b from r join u on u.a = r.reach) select node, min(reach) component from r group by node""",
         "corridor_cells": f"with {CELLS} select * from cells",
-        "corridor_boundary_segments": f"""with {CELLS}, s as (select track_id, tx+i bx, ty+j by_, tx+a x1, ty+b y1, tx+c x2, ty+d y2 from cells, (values (-1,0,0,0,0,1),(1,0,1,1,1,0),(0,1,0,1,1,1),(0,-1,1,0,0,0)) v(i,j,a,b,c,d))
- select track_id, x1, y1, x2, y2 from s anti join cells k on k.track_id = s.track_id and k.tx = bx and k.ty = by_""",
+        "corridor_boundary_segments": f"""with {CELLS}, {BOUNDARY}
+ select s.track_id, x1, y1, x2, y2 from s anti join cells k on k.track_id = s.track_id and k.tx = bx and k.ty = by_""",
         "signed_area": f"""with {TRACK}, c as (select track_id, seq, lon, lat from track union all select track_id, 1000000000, lon, lat from track where seq = 0),
  p as (select track_id, lon x1, lat y1, lead(lon) over w x2, lead(lat) over w y2 from c window w as (partition by track_id order by seq)) select track_id, round(sum(x1*y2-x2*y1)/2, 9) area from p where x2 is not null group by track_id""",
         "view_transform": f"""with {NODES}, d as (select node_id, (lon-5.705::double)*20000.0::double dx, (lat-45.105::double)*20000.0::double dy from nodes)
@@ -221,5 +267,40 @@ def oracle_sql() -> dict[str, str]:
  hops as (select track_id, 0::bigint v, 0 h from track where seq = 0 union select c.track_id, c.j, h + 1 from hops join chords c on c.track_id = hops.track_id and c.i = v where h < 100),
  last as (select track_id, max(seq) l from track group by track_id)
  select track_id, min(h) + 1::bigint n from hops join last using (track_id) where v = l and l > 0 group by track_id""",
+        "noise_gate": f"""with recursive f as (select user_id d, ts, 5.7::double + value/1000000.0::double lon, 45.1::double + event_id % 1000/10000000.0::double lat from events where event_id % 50 <> 0),
+ g as (select d, m[1] ts, m[2] lon, m[3] lat, null::double heading, m[2] ox, m[3] oy from (select d, min(row(ts, lon, lat)) m from f group by d)
+  union all select d, m[1], m[2], m[3], atan2(m[3]-oy, m[2]-ox), lon, lat from (select g.d, g.lon, g.lat, g.ox, g.oy, min(row(f.ts, f.lon, f.lat)) m from g join f on f.d = g.d and f.ts > g.ts
+   where {_metres("g.lon", "g.lat", "f.lon", "f.lat")} >= 4 group by g.d, g.lon, g.lat, g.ox, g.oy))
+ select d device_id, epoch_us(ts) ts_us, lon, lat, round(heading, 9) heading from g""",
+        "simplify_path": f"""with recursive {TRACK}, {chords("track", "0.001::double")}, starts as (select track_id, 0::bigint s from track where seq = 0), stops as (select track_id, 0::bigint s, max(seq) e from track group by track_id), {FEWEST},
+ kept as (select track.track_id, seq, lon, lat from walked join track on track.track_id = walked.track_id and seq = v) select * from kept where track_id in (select track_id from kept group by track_id having count(distinct row(lon, lat)) > 1)""",
+        "simplify_around_waypoints": f"""with recursive {TRACK}, flagged as (select t.*, exists (select 1 from track w where w.track_id = t.track_id and w.lon = t.lon and w.lat = t.lat and w.seq % 13 = 0) w from track t),
+ counted as (select *, sum(w::int) over (partition by track_id order by seq) n from flagged), {chords("counted", "0.001::double", "b.n - b.w::int = a.n")},
+ starts as (select track_id, seq s from counted where w), stops as (select track_id, s, e from (select track_id, seq s, lead(seq) over (partition by track_id order by seq) e from counted where w) where e is not null), {FEWEST},
+ kept as (select track_id, v seq from walked union select track_id, seq from counted where n = (select max(n) from counted c where c.track_id = counted.track_id))
+ select track_id, seq, lon, lat from track semi join kept using (track_id, seq)""",
+        "svg_layers": f"""with {MERGED}, {TRACK},
+ ends as (select tx*{SIDE} + cx1/255.0::double*{SIDE} x1, (ty*{SIDE} + cy1/255.0::double*{SIDE})*-1 y1, tx*{SIDE} + cx2/255.0::double*{SIDE} x2, (ty*{SIDE} + cy2/255.0::double*{SIDE})*-1 y2 from merged)
+ select 0::int layer, 'black' color, printf('<line x1=''%.7f'' y1=''%.7f'' x2=''%.7f'' y2=''%.7f''/>', x1, y1, x2, y2) shape from ends
+ union all select 1, 'red', printf('<rect fill=''none'' x=''%.7f'' y=''%.7f'' width=''%.7f'' height=''%.7f''/>', tx*{SIDE}, -(ty + 1)*{SIDE}, {SIDE}, {SIDE}) from (select distinct tx, ty from merged)
+ union all select 2, 'green', '<polyline fill=''none'' points=' || chr(39) || string_agg(printf('%.7f,%.7f', lon, -lat), ' ' order by seq) || chr(39) || '/>' from track group by track_id""",
+        "binary_roundtrip": f"""with {PATH_SEGMENTS}, {edges("walk", "track_id", "walk_edges")}, {INTEREST_CODES},
+ own as (select distinct track_id, tx, ty, cx1, cy1, cx2, cy2 from (select track_id, tx, ty, {_CODE} from walk_edges) where cx1 <> cx2 or cy1 <> cy2),
+ here as (select distinct track_id, kx+i tx, ky+j ty from (select track_id, {cell("lon")} kx, {cell("lat")} ky from track), (values (-1),(0),(1)) a(i), (values (-1),(0),(1)) b(j)),
+ flagged as (select t.*, exists (select 1 from track w where w.track_id = t.track_id and w.lon = t.lon and w.lat = t.lat and w.seq % 13 = 0) w from track t),
+ whole as (select track_id from track group by track_id having count(ele) = count(*))
+ select track_id, 'point' kind, seq::int number, null::bigint tx, null::bigint ty, lon a, lat b, w::int::double c, null::double d, null::varchar as name from flagged
+ union all select track_id, 'height', seq::int, null, null, greatest(-32768, least(32767, trunc(ele))), null, null, null, null from track semi join whole using (track_id)
+ union all select track_id, 'edge', (row_number() over (partition by track_id, tx, ty order by cx1, cy1, cx2, cy2) - 1)::int, tx, ty, cx1, cy1, cx2, cy2, null from own
+ union all select track_id, 'interest', (row_number() over (partition by track_id, tx, ty order by type, cx, cy) - 1)::int, tx, ty, type, cx, cy, null, null from codes join here using (tx, ty)""",
+        "corridor_polygon": f"""with recursive {CELLS}, {BOUNDARY}, sides as (select s.track_id, x1, y1, x2, y2 from s anti join cells k on k.track_id = s.track_id and k.tx = bx and k.ty = by_),
+ begun as (select track_id, min(row(x1, y1)) p from sides group by track_id),
+ ring as (select s.track_id, x1 x, y1 y, x2 nx, y2 ny, x1 sx, y1 sy, 0 step from begun b join sides s on s.track_id = b.track_id and x1 = p[1] and y1 = p[2]
+  union all select track_id, nx, ny, m[2], m[3], sx, sy, step + 1 from (select r.track_id, r.nx, r.ny, r.sx, r.sy, step, min(row((nx-x)*(y2-ny)-(ny-y)*(x2-nx), x2, y2)) m
+   from ring r join sides e on e.track_id = r.track_id and x1 = nx and y1 = ny where not (nx = sx and ny = sy) group by r.track_id, r.nx, r.ny, r.sx, r.sy, step)),
+ vertices as (select *, coalesce(lag(x) over w, last_value(x) over (w rows between unbounded preceding and unbounded following)) px, coalesce(lag(y) over w, last_value(y) over (w rows between unbounded preceding and unbounded following)) py from ring window w as (partition by track_id order by step)),
+ bent as (select track_id, x, y, row_number() over (partition by track_id order by step) - 1 k from vertices where not ((px = x and x = nx) or (py = y and y = ny))),
+ closed as (select track_id, k, x, y from bent union all select b.track_id, n, x, y from bent b join (select track_id, count(*) n from bent group by track_id) using (track_id) where k = 0)
+ select track_id, k::int seq, x*{_S2} lon, y*{_S2} lat from closed""",
         "accent_strip": "select doc_id, strip_accents(text) as name from documents",
     }

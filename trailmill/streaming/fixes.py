@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,21 +47,40 @@ def accepted(fixes: DataFrame) -> DataFrame:
     return valid_fixes(fixes).select("device_id", "ts", "lon", "lat").groupBy("device_id").applyInPandas(one, f"device_id {kind}, {OUT}")
 
 
-def accepted_stream(fixes: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """The gate over a stream. Fixes of one trigger are sorted by time; rows later than ``delay`` are dropped."""
+def accepted_stream(fixes: DataFrame, delay: str = "1 minute", idle_ms: int = 86_400_000) -> DataFrame:
+    """The gate over a stream. Fixes of one trigger are sorted by time; rows later than ``delay`` behind the newest of
+    the triggers before are dropped. A device unheard of for ``idle_ms`` is forgotten: its next fix is accepted."""
     kind = dict(fixes.dtypes)["device_id"]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts))
+        watermark = state.getCurrentWatermarkMs()
+        rows = rows[rows["ts"] >= pd.Timestamp(watermark, unit="ms")]
         held = state.get if state.exists else (None,) * 4
         last = [(x, y) for x, y in (held[:2], held[2:]) if x is not None]
-        out, last = gate(pd.concat(list(parts)), last)
+        out, last = gate(rows, last)
         flat = [v for fix in last for v in fix]
         state.update((*flat, *[None] * (4 - len(flat))))
+        newest = int(rows["ts"].max().timestamp() * 1000) if len(rows) else watermark
+        state.setTimeoutTimestamp(max(newest, watermark) + idle_ms)
         out.insert(0, "device_id", key[0])
         yield out
 
     rows = valid_fixes(fixes).select("device_id", "ts", "lon", "lat").withWatermark("ts", delay)
-    return rows.groupBy("device_id").applyInPandasWithState(step, f"device_id {kind}, {OUT}", "x1 double, y1 double, x2 double, y2 double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("device_id").applyInPandasWithState(step, f"device_id {kind}, {OUT}", "x1 double, y1 double, x2 double, y2 double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def simulated(spark: SparkSession, box: tuple[float, float, float, float], per_second: int = 1, step: float = 1 / 5000) -> DataFrame:
+    """A stream of fixes ``(device_id, ts, lon, lat)`` of one device that walks along the diagonal of the box
+    (x0, y0, x1, y1) from its middle, a share ``step`` of it each time, there and back again."""
+    x0, y0, x1, y1 = box
+    rows = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    past = F.pmod(F.lit(0.5) + F.col("value") * step, F.lit(2.0))
+    at = F.when(past <= 1, past).otherwise(2 - past)
+    return rows.select(F.lit(0).alias("device_id"), F.col("timestamp").alias("ts"), (x0 + at * (x1 - x0)).alias("lon"), (y0 + at * (y1 - y0)).alias("lat"))
 
 
 def with_viewport(fixes: DataFrame, edges: DataFrame, side: float) -> DataFrame:
