@@ -44,7 +44,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.judge(docs).drop("text", "lang")
+    judged = quality.judge(docs).drop("text", "lang")
+    return judged.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
