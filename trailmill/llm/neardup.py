@@ -155,38 +155,38 @@ def verified(pairs: DataFrame, pool: DataFrame, how: MinHash) -> DataFrame:
     return rows.mapInArrow(_verify(how), f"u {kind}, v {kind}")
 
 
-#: Classes on one side of a square; a task holds two sides.
-SQUARE = 512
+#: Classes that live in one block; a task holds them and the strangers that visit them.
+BLOCK = 512
 
 
 def _promising(how: MinHash) -> Callable[[pa.Table], pa.Table]:
     def promising(rows: pa.Table) -> pa.Table:
-        """The classes of a square that some class of another component there may be similar to, by signature. A pair
-        that agrees in an earlier band is left to the bucket of that band."""
-        i, j, band = (rows[c][0].as_py() for c in ("i", "j", "band"))
-        known = rows["component"].to_numpy()
-        sides, sketch = rows["side"].to_numpy(), np.stack([np.frombuffer(x.as_py(), "<u2") for x in rows["sketch"]])
-        wanted, its = np.zeros(len(sides), bool), np.flatnonzero(sides == j)
-        for x in np.flatnonzero(sides == i):
-            others = its[(known[its] != known[x]) & ((its > x) | (i != j))]
-            equal = sketch[others] == sketch[x]
-            near = others[(equal.mean(axis=1) >= how.least_match) & ~equal.reshape(len(others), how.bands, how.rows)[:, :band].all(axis=2).any(axis=1)]
+        """The classes of a block that are similar to some class of another component there, by signature. A pair is one
+        of a stranger and a class that lives in the block; two strangers meet where the one of larger id lives."""
+        known, ids = rows["component"].to_numpy(zero_copy_only=False), rows["id"].to_numpy(zero_copy_only=False)
+        strange, lives = rows["strange"].to_numpy(zero_copy_only=False), ~rows["visits"].to_numpy(zero_copy_only=False)
+        sketch = np.stack([np.frombuffer(x.as_py(), "<u2") for x in rows["sketch"]])
+        wanted, here = np.zeros(len(ids), bool), np.flatnonzero(lives)
+        for x in np.flatnonzero(strange):
+            others = here[(known[here] != known[x]) & (~strange[here] | (ids[here] > ids[x]))]
+            near = others[(sketch[others] == sketch[x]).mean(axis=1) >= how.least_match]
             wanted[near] = True
             wanted[x] |= len(near) > 0
         release()
-        return rows.filter(pa.array(wanted)).select(["key", "i", "j", "side", "id", "component"])
+        return rows.filter(pa.array(wanted)).drop_columns(["sketch"])
 
     return promising
 
 
-def _square(how: MinHash) -> Callable[[pa.Table], pa.Table]:
-    def square(rows: pa.Table) -> pa.Table:
-        """All pairs across two sides of a bucket, counted on full sets: edges that span what is similar in it.
+def _block(how: MinHash) -> Callable[[pa.Table], pa.Table]:
+    def block(rows: pa.Table) -> pa.Table:
+        """All pairs of a stranger and a class that lives in the block, counted on full sets: edges that span what is
+        similar there.
 
         Each set's intersections with all others come from one count over the postings of its shingles.
         """
-        ids, sides, known = rows["id"].to_pylist(), rows["side"].to_numpy(), rows["component"].to_pylist()
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        ids, known = rows["id"].to_pylist(), rows["component"].to_pylist()
+        strange, lives = rows["strange"].to_numpy(zero_copy_only=False), ~rows["visits"].to_numpy(zero_copy_only=False)
         sets = [unpack_sorted(x.as_py()) for x in rows["set"]]
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         values, _ = ragged(sets, np.uint64)
@@ -207,13 +207,12 @@ def _square(how: MinHash) -> Callable[[pa.Table], pa.Table]:
             parent[x] = first.setdefault(component, x)
         us, vs = [], []
         ends = np.cumsum(n)
-        for x in np.flatnonzero(sides == i):
+        for x in np.flatnonzero(strange):
             own = number[ends[x] - n[x] : ends[x]]
             size = begins[own + 1] - begins[own]
             at = np.repeat(begins[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
             common = np.bincount(posted[at], minlength=len(sets))
-            alike = (100 * common >= how.percent * (n + n[x] - common)) & (sides == j) & (n > 0)
-            for y in np.flatnonzero(alike):
+            for y in np.flatnonzero((100 * common >= how.percent * (n + n[x] - common)) & lives & (n > 0)):
                 a, b = root(x), root(int(y))
                 if a != b:
                     parent[a] = b
@@ -222,27 +221,33 @@ def _square(how: MinHash) -> Callable[[pa.Table], pa.Table]:
         kind = rows.schema.field("id").type
         return pa.table({"u": pa.array(us, kind), "v": pa.array(vs, kind)})
 
-    return square
+    return block
 
 
 def _residual(banded: DataFrame, buckets: DataFrame, sketches: DataFrame, pool: DataFrame, of: DataFrame, how: MinHash) -> DataFrame:
     """Edges between components that stars left apart, from every pair that shares a bucket.
 
-    The buckets that hold several components are compared in squares of 512 by 512 classes: first the signatures, then
-    the full sets of the classes that have a promising partner there. A task holds two sides and sends back only edges
-    that span them.
+    A bucket that holds several components belongs to the largest of them there (ties: the least); of two classes of
+    different components in it, one at least is a stranger to that. The classes of all buckets that belong to one
+    component live, once each, in blocks of about 512, and its strangers visit all of them: first by signature, then,
+    where that is promising, on full sets. A task holds a block and its visitors and sends back only edges that span.
     """
     rows = banded.join(buckets.select("key"), "key").join(of, F.col("id") == of["node"], "left")
-    rows = cut(rows.select("key", "band", "id", F.coalesce("component", "id").alias("component")))
-    sizes = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count("*") / SQUARE).alias("sides"))
-    members = spread_join(rows, sizes.where("a <> b").select("key", "sides"), "key", "id")
-    members = members.withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    members = members.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "sides")
+    rows = cut(rows.select("key", "id", F.coalesce("component", "id").alias("component")))
+    shares = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = F.min(F.struct((-F.col("n")).alias("n"), "component"))["component"].alias("home")
+    owners = shares.groupBy("key").agg(largest, F.count("*").alias("kinds")).where("kinds > 1").select("key", "home")
+    members = spread_join(rows, owners, "key", "id").select("home", "id", "component").distinct()
+    members = cut(members.withColumn("strange", F.col("component") != F.col("home")))
+    sizes = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    members = spread_join(members, sizes, "home", "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    places = F.when(F.col("strange"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("own"))
+    members = members.withColumn("block", F.explode(places)).withColumn("visits", F.col("block") != F.col("own"))
     kind = dict(rows.dtypes)["id"]
-    near = members.join(sketches, "id").groupBy("key", "i", "j").applyInArrow(_promising(how), f"key bigint, i bigint, j bigint, side bigint, id {kind}, component {kind}")
+    members = members.select("home", "block", "id", "component", "strange", "visits").join(sketches, "id")
+    near = members.groupBy("home", "block").applyInArrow(_promising(how), f"id {kind}, home {kind}, block bigint, component {kind}, strange boolean, visits boolean")
     near = cut(near)
-    return near.join(pool, "id").groupBy("key", "i", "j").applyInArrow(_square(how), f"u {kind}, v {kind}")
+    return near.join(pool, "id").groupBy("home", "block").applyInArrow(_block(how), f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,7 +256,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "do
     Texts are similar if their sets of distinct 5-word shingles (A-Z lower-cased; with fewer words, the whole
     sequence) have 100 * intersection >= 75 * union. Rows of equal sets form a class, which its smallest id stands
     for. Classes that agree in a band are candidates. Each class is first held against one hub, by signature and then
-    on full sets; buckets that still hold several components are compared whole, on full sets. Null and empty texts
+    on full sets; where buckets still hold several components, these are compared whole, by signature and on full sets. Null and empty texts
     have no shingles and link with nothing; a row with a null id links with nothing, has a null component and is kept.
     Rows that share an id are one node. Other columns are left out; an empty table gives an empty result.
     """
@@ -260,7 +265,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "do
     sketched = cut(made.select("id", "s.n", "s.print", "s.bands", "s.sketch"))
     classes = sketched.where("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = cut(classes)
-    banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
     star = cut(banded.join(buckets, "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared")))
     involved = star.select("id").unionByName(star.select(F.col("hub").alias("id"))).distinct()
@@ -269,7 +274,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc_id: str = "do
     pool = cut(pool.select("id", _sets(F.col("text"), how).alias("set")).distinct())
 
     # Each class tries one hub: the least of those that share half the bands of a pair at the threshold, so that most
-    # of a group meets in one, else the one that shares most. What is still apart is compared in squares.
+    # of a group meets in one, else the one that shares most. What is still apart is compared in blocks.
     likely_hub = F.min(F.when(F.col("shared") >= how.bands * (how.percent / 100) ** how.rows / 2, F.col("hub")))
     best = star.groupBy("id").agg(F.coalesce(likely_hub, F.max_by("hub", F.struct("shared", "hub"))).alias("hub"))
     own, its = reps.select("id", F.col("sketch").alias("own")), reps.select(F.col("id").alias("hub"), F.col("sketch").alias("its"))
