@@ -45,11 +45,14 @@ class ByteBpe:
 
     def __init__(self, spec: str) -> None:
         self.spec = spec
-        model = json.loads(spec)["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
         self.specials = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self.chars = byte_chars()
+        self.spelling = dict(enumerate(self.chars))
+
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        """Read when first asked for: who merges by the library doesn't hold them."""
+        return {tuple(pair): i for i, pair in enumerate(json.loads(self.spec)["model"]["merges"])}
 
     @cached_property
     def library(self):
@@ -81,14 +84,14 @@ class ByteBpe:
                     heappush(heap, (rank, x, held[x], held[y]))
         return [p for p in held if p is not None]
 
-    def spelled(self, pre_token: str) -> list[str]:
-        return [self.chars[b] for b in pre_token.encode()]
+    def spelled(self, pre_token: str) -> str:
+        return pre_token.encode().decode("latin-1").translate(self.spelling)
 
     def whole_tokens(self) -> list[str]:
         """The vocabulary's strings, as text, that merge into exactly one token: the proof is the merge itself."""
         of_char = {c: b for b, c in enumerate(self.chars)}
         found = []
-        for entry in self.vocab:
+        for entry in json.loads(self.spec)["model"]["vocab"]:
             try:
                 text = bytes(of_char[c] for c in entry).decode()
             except (KeyError, UnicodeDecodeError):
@@ -101,7 +104,7 @@ class ByteBpe:
 class TokenCounter(dict):
     """pre-token -> number of tokens. Proven whole tokens are there from the start; the rest is merged when met."""
 
-    LIMIT = 100_000
+    LIMIT = 300_000
 
     def __init__(self, spec: str, whole: list[str]) -> None:
         super().__init__(dict.fromkeys(whole, 1))
@@ -112,8 +115,8 @@ class TokenCounter(dict):
         if len(self) >= self.LIMIT + len(self.whole):
             self.clear()
             self.update(dict.fromkeys(self.whole, 1))
-        n = len(self.bpe.merge(self.bpe.spelled(pre_token)))
-        if len(pre_token) < 100:
+        n = len(self.bpe.merge(list(self.bpe.spelled(pre_token))))
+        if len(pre_token) < 40:
             self[pre_token] = n
         return n
 
@@ -129,19 +132,23 @@ class WordIds(dict):
     """chunk of normalised text between white space -> its ids as little-endian 32-bit numbers, for a tokenizer with
     word ends. No pre-token spans white space, so a chunk's ids don't depend on its neighbours."""
 
-    LIMIT = 100_000
+    LIMIT = 300_000
 
     def __init__(self, spec: str) -> None:
         super().__init__()
         self.bpe, self.find = ByteBpe(spec), regex.compile(WORD_PATTERN).findall
+        self.numbers = [i.to_bytes(4, "little") for i in range(self.bpe.library.get_vocab_size(with_added_tokens=True))]
+        self.merged = self.bpe.library.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        merged = self.bpe.library.model.tokenize
-        pre_tokens = ("".join(self.bpe.spelled(p)) for p in self.find(chunk))
-        ids = b"".join(t.id.to_bytes(4, "little") for p in pre_tokens for t in merged(p))
-        if len(chunk) < 100:
+        if chunk.isascii() and chunk.isalpha():  # one pre-token, spelled as it is
+            found = self.merged(chunk)
+        else:
+            found = [t for p in self.find(chunk) for t in self.merged(self.bpe.spelled(p))]
+        ids = b"".join([self.numbers[t.id] for t in found])
+        if len(chunk) < 40:
             self[chunk] = ids
         return ids
 
