@@ -16,7 +16,8 @@ def test_query_matches_sql(spark, sf_dir, name):
     if not os.path.exists(sf_dir):
         pytest.skip("no tables")
     db = duckdb.connect()
-    db.sql(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        db.sql(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
     frame = queries.queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)
     found = db.sql(oracles.oracle_sql()[name])
