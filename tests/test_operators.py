@@ -354,3 +354,41 @@ def test_detected_crossroads_hold_one_row_per_step_at_a_hub(spark):
     out = graph.detect_crossroads(spark.createDataFrame(points, "track_id long, seq long, lon double, lat double, ele double"), edges)
     # each way out is one of many within the slack, in both directions
     assert sorted(map(tuple, out.collect())) == [(t, 1) for t in range(n)]
+
+
+def test_cutting_compiles_into_short_methods(spark):
+    """The JVM only interprets methods of more than 8000 bytes."""
+    rows = spark.range(10).selectExpr("id way_id", "id seq", "5.7 + id / 1000 x1", "45.1 + id / 700 y1", "5.7 + id / 800 x2", "45.1 + id / 900 y2").selectExpr("way_id", "seq", *(f"cast({c} as double) {c}" for c in ("x1", "y1", "x2", "y2")))
+    edges = network.quantised(network.tile_edges(network.cut_on_grid(rows)))
+    compiled = edges._jdf.queryExecution().debug().codegenToSeq()
+    assert compiled.size() > 0
+    assert max(compiled.apply(i)._3().maxMethodCodeSize() for i in range(compiled.size())) <= 8000
+
+
+@pytest.mark.parametrize("limit", [gpsfile.BROADCAST_BYTES if hasattr(gpsfile, "BROADCAST_BYTES") else 1, 0])
+def test_interests_meet_tracks_by_tile(spark, monkeypatch, limit):
+    """Files hold all interests near their track, none is joined with each track, whether tiles are broadcast or dealt."""
+    monkeypatch.setattr(gpsfile, "BROADCAST_BYTES", limit, raising=False)
+    rng = random.Random(3)
+    points = [(t, i, 5.7 + t * 0.0003 + i * 0.0005, 45.1 + i * 0.0004, None if t == 3 else float(i * 300 - t), i % 3 == 0) for t in range(12) for i in range(2 + t)]
+    marked = spark.createDataFrame(points, "track_id int, seq int, lon double, lat double, ele double, is_waypoint boolean")
+    spots = [(rng.choice([1, 2, 200]), 5.7 + rng.random() * 0.01, 45.1 + rng.random() * 0.01) for _ in range(900)]
+    segments = network.segments(marked, ("track_id",))
+    edges = network.quantised(network.tile_edges(network.cut_on_grid(segments)))
+    files = gpsfile.encode(marked, edges, spark.createDataFrame(spots, "type int, lon double, lat double"))
+    got = gpsfile.decode(files).collect()
+    code = lambda v: min(255, max(0, round((v - math.floor(v * 255 / g.SIDE + 0.5) // 255 * g.SIDE) * 255 / g.SIDE)))
+    cell = lambda v: math.floor(v * 255 / g.SIDE + 0.5) // 255
+    near = {t: {(cell(x) + i, cell(y) + j) for u, _, x, y, *_ in points if u == t for i in (-1, 0, 1) for j in (-1, 0, 1)} for t in range(12)}
+    want = sorted((t, cell(x), cell(y), k, code(x), code(y)) for t in near for k, x, y in spots if (cell(x), cell(y)) in near[t])
+    found = [(r.track_id, r.tx, r.ty, int(r.a), int(r.b), int(r.c)) for r in got if r.kind == "interest"]
+    assert sorted(found) == want and all(r.d is None and r.name is None for r in got if r.kind == "interest")
+    # numbers count within a tile, in order of the entries
+    order = sorted((r.track_id, r.tx, r.ty, r.number, r.a, r.b, r.c) for r in got if r.kind == "interest")
+    assert [(*r[:3], *map(int, r[4:])) for r in order] == want and order[0][3] == 0
+    assert sorted((r.track_id, r.number, r.a, r.b, r.c == 1) for r in got if r.kind == "point") == [(t, i, x, y, w) for t, i, x, y, _, w in points]
+    assert sorted((r.track_id, r.number, r.a) for r in got if r.kind == "height") == [(t, i, z) for t, i, _, _, z, _ in points if z is not None]
+    kept = sorted((r.track_id, r.tx, r.ty, r.cx1, r.cy1, r.cx2, r.cy2) for r in edges.collect())
+    assert sorted((r.track_id, r.tx, r.ty, *map(int, (r.a, r.b, r.c, r.d))) for r in got if r.kind == "edge") == kept
+    # alone what the tracks' tiles, not their interests, ask for
+    assert joined_rows(files) <= sum(map(len, near.values())) < len(want)
