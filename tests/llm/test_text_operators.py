@@ -1,10 +1,12 @@
 """Token counts, packing, quality rules, language id and LM scores against direct computation."""
 
 import math
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -259,6 +261,53 @@ def test_lanes_carry_the_state():
         assert np.allclose(chunk.traverse(n, v, escapes, lane), whole)
 
 
+def test_steps_of_a_chunk_do_not_grow_with_its_texts():
+    """A chunk is worked on as a whole: a hundred times the texts take as many calls, in Python and into numpy."""
+
+    def calls(n):
+        texts = [b"the Quick brown fox %d and again the quick brown Fox" % (i % 10) for i in range(n)]
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            chunk = lm.Chunk(texts, np.ones(n, bool))
+            for _ in range(2):
+                chunk.learn(None)
+                chunk.longer()
+        finally:
+            sys.setprofile(None)
+        assert len(chunk.place) == 13 * n
+        return len(seen)
+
+    calls(10)
+    assert calls(2000) <= calls(20) + 20
+
+
+LETTERS = st.sampled_from([*b"abAB \t\n\v\f\r\0", 0x1C, 0x85, 0xA0, 0xC3, 0xFF])
+TEXTS = st.one_of(st.none(), st.lists(LETTERS, max_size=40).map(bytes), st.lists(st.sampled_from([7, 8, 9, 16, 17, 63, 64, 65, 130]), max_size=5).map(lambda n: b" ".join(b"aB" * (x // 2) + b"b" * (x % 2) for x in n)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXTS, max_size=12), st.integers(0, 3))
+def test_fingerprints_of_many_texts(texts, skipped):
+    """They tell words apart as the words themselves do, text by text, also in a slice of an array."""
+    words = [common.lower_words(t) for t in texts[skipped:]]
+    prints, sizes = common.all_prints(pa.array(texts, pa.binary())[skipped:])
+    assert list(sizes) == [len(w) for w in words]
+    pairs = set(zip([w for t in words for w in t], prints.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({p for _, p in pairs})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 62).flatmap(lambda bits: st.tuples(st.just(bits), st.lists(st.integers(0, 2**bits - 1) | st.integers(0, 1), max_size=50))))
+def test_numbered_codes(case):
+    """With and without room for a number's place beside it."""
+    bits, values = case
+    x = np.array(values, np.int64)
+    found, own, at = common.numbered_codes(x, bits)
+    assert sorted(found) == sorted(set(values))
+    assert (found[own] == x).all() and (x[at] == found).all()
+
+
 def test_lm_tells_copies_from_the_rest(spark):
     """Texts that training has twice score above texts that it has once, a token of theirs on average."""
     rng = np.random.default_rng(8)
