@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import struct
 from datetime import datetime, timedelta
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import geometry as g
 from trailmill.operators import graph, network, polygon, simplify, track
+from trailmill.plans import catalogue
 from trailmill.sources import gpsfile, gpx, streets, svg
 from trailmill.streaming import fixes
 
@@ -392,3 +394,33 @@ def test_interests_meet_tracks_by_tile(spark, monkeypatch, limit):
     assert sorted((r.track_id, r.tx, r.ty, *map(int, (r.a, r.b, r.c, r.d))) for r in got if r.kind == "edge") == kept
     # alone what the tracks' tiles, not their interests, ask for
     assert joined_rows(files) <= sum(map(len, near.values())) < len(want)
+
+
+def test_rows_that_files_repeat_take_little_room(spark, tmp_path):
+    """What the same tile gives to many files lies together, so that a column of it is a few runs."""
+    points = [(t, i, 5.7002 + t * 1e-6, 45.1002 + i * 1e-6, 1.0, i == 0) for t in range(100) for i in range(2)]
+    marked = spark.createDataFrame(points, "track_id int, seq int, lon double, lat double, ele double, is_waypoint boolean").coalesce(1)
+    spots = [(1 + k % 3, 5.7002 + k % 97 * 1e-5, 45.1002 + k % 89 * 1e-5) for k in range(4000)]
+    edges = spark.createDataFrame([], "track_id int, tx long, ty long, cx1 int, cy1 int, cx2 int, cy2 int")
+    rows = gpsfile.decode(gpsfile.encode(marked, edges, spark.createDataFrame(spots, "type int, lon double, lat double")))
+    rows.write.parquet(str(tmp_path / "rows"))
+    back = spark.read.parquet(str(tmp_path / "rows"))
+    assert back.where("kind = 'interest'").count() == 100 * 4000
+    assert back.where("kind = 'interest'").distinct().count() == 100 * 4000
+    assert sum(p.stat().st_size for p in (tmp_path / "rows").glob("*.parquet")) < 0.5 * back.count()
+
+
+def test_roundtrip_deals_points_by_track_alone(spark, sf_dir):
+    """What goes by track and place, or by track and tile, is shuffled once, by track."""
+    rows = catalogue.queries()["binary_roundtrip"](spark, sf_dir)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*), \d+\), ", rows._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all(re.fullmatch(r"track_id#\d+L?", by) for by in dealt) and len(dealt) <= 3
+
+
+def test_marked_where_is_marked(spark):
+    rows = [(1, 0, 5.0, 45.0), (1, 1, 5.1, 45.0), (1, 2, 5.0, 45.0), (1, 3, None, 45.0), (1, 4, 0.0, 45.0), (1, 5, -0.0, 45.0), (2, 0, 5.1, 45.0), (2, 1, 5.0, 45.0), (2, 3, None, None)]
+    points = spark.createDataFrame(rows, "track_id int, seq int, lon double, lat double")
+    for condition in ("seq % 3 = 0", "seq = 5", "lon > 5", "seq < 0", "lon is null"):
+        want = track.marked(points, points.where(condition)).select("track_id", "seq", "is_waypoint")
+        got = track.marked_where(points, F.expr(condition)).select("track_id", "seq", "is_waypoint")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), condition
